@@ -24,29 +24,107 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, chunks, two, written
+from tessera.llm.common import LOWER, byte_sums, chunks, span_hash, two, utf8, words_of, written
 
 CAPACITY, GROUPS, SMALL, SEPARATOR = 2048, 400, 682, 0
-KNOWN_WORDS = 400_000
-_known: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
 
+class WordTokenizer:
+    """A tokenizer with the ids of the runs of its texts kept by hash.
 
-def tokenized(texts: list[str | None], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text. The tokenizer never joins over white space, so ids are kept by word."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
+    It never joins over white space or where an ASCII letter meets an ASCII sign, as its own pattern parts letters
+    from signs (save the apostrophe, which begins contractions), and it lower-cases; so a text is the sequence of such
+    runs, lower-cased. Texts with a special token's string go to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _known[path] = {}
-    known, words = _known[path], [WORD.findall(t or "") for t in texts]
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    new = list({w for ws in words for w in ws if w not in known})
-    for w, e in zip(new, _tokenizers[path].encode_batch(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.runs: dict[int, int] = {}  # hash -> place in the pool << 20 | number of ids
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
+
+    def _add(self, hashes: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), len(self.pool)), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        begins = np.concatenate([[0], ends[:-1]])
+        self.runs.update(zip(hashes, (self.used + begins << 20 | ends - begins).tolist()))
+        self.used += len(ids)
+
+    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+        """Letters are encoded as one text and cut at the ids that end a word, all else by itself."""
+        letters, other = [], []
+        for x in zip(hashes, texts):
+            (letters if x[1].isalpha() else other).append(x)
+        for b in range(0, len(letters), 2000):
+            some = letters[b : b + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                self._add([h for h, _ in some], ids, ends)
+            else:
+                other += some
+        if other:
+            each = [e.ids for e in self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False)]
+            self._add([h for h, _ in other], np.array([i for ids in each for i in ids], "<u4"), np.cumsum([len(ids) for ids in each]))
+
+    def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin."""
+        if len(self.runs) > KNOWN_RUNS:
+            self._clear()
+        raw = LOWER[raw]
+        b, e, _ = words_of(raw, at)
+        kind = KIND[raw]
+        meet = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1  # a letter beside a sign
+        meet = meet[~np.isin(meet, at)]
+        b, e = np.sort(np.concatenate([b, meet])), np.sort(np.concatenate([e, meet]))
+        hashes, first, which = np.unique(span_hash(byte_sums(raw), b, e), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        found = np.array([self.runs.get(h, -1) for h in keys], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            data = raw.tobytes()
+            self._learn([keys[i] for i in new.tolist()], [data[x:y].decode() for x, y in zip(b[first[new]].tolist(), e[first[new]].tolist())])
+            found[new] = [self.runs[keys[i]] for i in new.tolist()]
+        found = found[which]
+        n = found & (1 << 20) - 1
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat((found >> 20) - (ends - n), n) + np.arange(n.sum())]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(b, at)]
+
+
+KNOWN_RUNS = 1_000_000
+SIGNS = ".,!?;:*#$%&|<>()-\""
+KIND = np.zeros(256, np.uint8)
+KIND[97:123] = 1
+KIND[list(SIGNS.encode())] = 2
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenized(texts: pa.Array, path: str) -> list[bytes]:
+    """Little-endian 32-bit ids of each text."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    own = _tokenizers[path]
+    raw, at = utf8(texts)
+    ids, place = own(raw, at)
+    data, place = ids.tobytes(), (4 * place).tolist()
+    out = [data[b:e] for b, e in zip(place, place[1:])]
+    lower = LOWER[raw].tobytes()
+    for word in own.special:
+        if word in lower:
+            for i, t in enumerate(texts.to_pylist()):
+                if t and word.decode() in t.lower():
+                    out[i] = np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    return out
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, cut int, rank long"
@@ -55,9 +133,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, cut i
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(capacity + 1, np.int64)
     cut = TaskContext.get().partitionId()
-    for batch in chunks(batches):
+    for batch in chunks(batches, 3 << 20):
         rows = []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenized(batch.column("text").to_pylist(), path)):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenized(batch.column("text"), path)):
             ids += SEPARATOR.to_bytes(4, "little")
             for k, b in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[b : b + 4 * capacity]

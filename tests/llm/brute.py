@@ -15,7 +15,7 @@ def awkward():
         None, "", " \t\n", "one", "a b c d e", "a b c d e", base, base, near, base + " tail", base.upper(),
         "x y  ź naïve ßİ", "l1 a\nl1 a\n\nl2\nl1 a\n", "\n", "e\n", "e\ne",
         "rep " * 40, "z" * 3000, " ".join(f"w{i % 7}" for i in range(30000)), "Under the MIT License. cc by-nc; apache license, version 2",
-        "you stupid idiot , scum and tr4sh", 'he said "idiot" once', "\x00nul \x0b vt", base[:200], "passage " + base[100:260] + " other",
+        "you stupid idiot , scum and tr4sh", 'he said "idiot" once', "\x00nul \x0b vt", base[:200], "a<|endoftext|>b <|ENDOFTEXT|> don't DON'T x's a.b'c (é) é. ...ab12cd,3.5 e\u0301x \u201cq\u201d.", "passage " + base[100:260] + " other",
     ]
     return [(i * 3 + 1, t, None if i % 5 == 0 else "en", None if i % 6 == 0 else f"s{i % 3}", None if i % 4 == 0 else len(t or "")) for i, t in enumerate(texts)]
 
