@@ -160,20 +160,25 @@ def _meet(table: pa.Table, buckets: int, hot: int) -> pa.Table:
 
 def _gathered(table: pa.Table) -> pa.Table:
     parts = [unpack(x) for x in table.column("data").to_pylist()]
-    classes, counts, h = by_class(np.concatenate([c for c, _ in parts]), np.concatenate([x for _, x in parts]))
+    cls, h = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.lexsort((h, cls))
+    cls, h = cls[order], h[order]
+    new = np.ones(len(h), bool)  # copies in different tasks may bring a hash twice
+    new[1:] = (cls[1:] != cls[:-1]) | (h[1:] != h[:-1])
+    classes, counts, h = by_class(cls[new], h[new])
     ends = np.cumsum(counts)
     data = h.astype("<u8").tobytes()
     return pa.table({"class": pa.array(classes.view(np.int64)), "hashes": pa.array([data[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), counts.tolist())], pa.binary())})
 
 
-def shared_hashes(docs: DataFrame, extract: Callable, postings: int, name: str, buckets: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """(class, its hashes that other classes have too), and the hashes of at least `postings / HOT` classes.
+def shared_hashes(docs: DataFrame, extract: Callable, postings: int, name: str, least: int = 256) -> tuple[DataFrame, np.ndarray]:
+    """(class, its hashes that other classes have too), and the hot hashes: of at least `postings / HOT` and `least` classes.
 
     extract: a batch of docs -> classes, counts and hashes, where a class comes once or always with the same hashes.
     postings: about how many hashes there are.
     """
-    n = buckets or max(partitions(docs.sparkSession), -(-postings // 2_000_000))
-    hot = max(256, -(-postings // HOT))
+    n = max(partitions(docs.sparkSession), -(-postings // 2_000_000))
+    hot = max(least, -(-postings // HOT))
     packed = docs.mapInArrow(partial(_mapped, extract=extract, buckets=n), ROWS)
     met = written(packed.groupBy("bucket").applyInArrow(lambda t: _meet(t, buckets=n, hot=hot), ROWS), name)
     often = [np.frombuffer(bytes(r["data"]), "<u8") for r in met.where(F.col("kind") == OTHER).select("data").collect()]
