@@ -5,8 +5,9 @@
 2. A class's shared shingles stand in one order for all (very frequent ones last). Two linked classes share the first l
    of their common shingles, and these lie in the first |shared| - ceil(0.8 |set|) + l of either. Light classes
    enumerate the pairs (l = 2) of that prefix; heavy ones, and light ones in reach of a heavy one, post its single
-   shingles (l = 1) to inverted lists. The boundary is the size at which the enumeration of all below it and the lists
-   of all above it cost least, by a histogram of sizes.
+   shingles (l = 1) to inverted lists. A key comes with what the class has in the order from there on, which bounds the
+   overlap of a pair that meets there first. The boundary is the size at which the enumeration of all below it and the
+   lists of all above it cost least, by a histogram of sizes.
 3. Of each key's members, first those are compared that pair with one of two pivots of the key; their links make
    components. Then only members of different components are compared. Overlaps are counted on the shared shingles,
    which hold every common one, so each comparison is exact.
@@ -33,6 +34,7 @@ from tessera.llm.postings import shared_hashes
 WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5  # a link is a Jaccard similarity of 4 / 5 or more
 LAST = (1 << 63) - 1
+PIVOTS, FREQUENT = 2, 32
 
 
 def shingle_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,9 +83,10 @@ def _prefix(hashes: bytes, n: int, more: int, hot: np.ndarray) -> np.ndarray:
     return h[: max(0, len(h) - int(needed(np.int64(n))) + more)]
 
 
-def pair_keys(h: np.ndarray) -> np.ndarray:
+def pair_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each pair of a prefix, and the place of the pair's second shingle."""
     i, j = np.triu_indices(len(h), 1)
-    return mix64(np.minimum(h[i], h[j]) * np.uint64(0x9E3779B97F4A7C15) + mix64(np.maximum(h[i], h[j])))
+    return mix64(np.minimum(h[i], h[j]) * np.uint64(0x9E3779B97F4A7C15) + mix64(np.maximum(h[i], h[j]))), j
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -107,28 +110,29 @@ def _costs(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.Re
 
 
 def _keys(batches: Iterator[pa.RecordBatch], hot: np.ndarray, boundary: int) -> Iterator[pa.RecordBatch]:
+    """Keys with most, the largest overlap with a partner whose first common shingle (or pair) is the key's."""
     for batch in pieces(batches):
         found, total = [], 0
-        for i, (x, n) in enumerate(zip(batch.column("hashes").to_pylist(), batch.column("n").to_pylist())):
-            if n <= boundary:
-                p = _prefix(x, n, 2, hot)
-                # One shingle is the whole of what is common where sets have a single one.
-                k = pair_keys(p) if n > 1 else p
-                found.append((i, k))
-            if n > boundary or n > 1 and 5 * n >= 4 * boundary:
-                found.append((i, _prefix(x, n, 1, hot)))
+        for i, (x, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hashes", "n", "m")))):
+            if 1 < n <= boundary:
+                keys, last = pair_keys(_prefix(x, n, 2, hot))
+                found.append((i, keys, m - last + 1))
+            # One shingle is the whole of what is common where sets have a single one.
+            if n > boundary or n == 1 or 5 * n >= 4 * boundary:
+                keys = _prefix(x, n, 1, hot)
+                found.append((i, keys, m - np.arange(len(keys))))
             total += len(found[-1][1])
             if total > 500_000:
                 yield _rows(batch, found)
                 found, total = [], 0
-        yield _rows(batch, found)
+        if found:
+            yield _rows(batch, found)
 
 
 def _rows(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
-    at = np.repeat([i for i, _ in found], [len(k) for _, k in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-    keys = np.concatenate([k for _, k in found]).view(np.int64) if found else np.zeros(0, np.int64)
-    take = pa.array(at)
-    return pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(take) for c in ("own", "n", "m"))], ["key", "own", "n", "m"])
+    take = pa.array(np.repeat([i for i, _, _ in found], [len(k) for _, k, _ in found]).astype(np.int64))
+    keys, most = np.concatenate([k for _, k, _ in found]).view(np.int64), np.concatenate([m for _, _, m in found]).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(most), *(batch.column(c).take(take) for c in ("own", "n", "m"))], ["key", "most", "own", "n", "m"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,24 +172,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = members.where("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("own"), F.max("n_shingles").alias("n"))
     classes = written(classes, "jaccard-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared, hot = shared_hashes(d, shingle_sets, total, "jaccard-shared")
+    shared, hot = shared_hashes(d, shingle_sets, total, "jaccard-shared", FREQUENT)
     m = (F.octet_length("hashes") / 8).cast("long")
     # A partner of size s >= 0.8 n shares at least 4/9 (n + s) of the m, so m >= 0.8 n.
     sets = shared.join(classes, "class").withColumn("m", m).where("5 * m >= 4 * n").select("own", "n", "m", "hashes")
     sets = written(sets.dropDuplicates(["own"]), "jaccard-sets")
     counts = sets.mapInArrow(partial(_costs, hot=hot), "key long, level int, pairs double").groupBy("key", "level").agg(F.count("*").alias("c"), F.sum("pairs").alias("pairs"))
     lists = counts.groupBy("key").agg(F.sum("c").alias("all"), F.collect_list(F.struct("level", "c", "pairs")).alias("by"))
-    costs = lists.select("all", F.explode("by").alias("x")).groupBy("x.level").agg(F.sum("x.pairs").alias("pairs"), F.sum(F.col("x.c") * F.col("all")).alias("lists")).collect()
+    costs = lists.select("all", F.explode("by").alias("x")).groupBy("x.level").agg(F.sum("x.pairs").alias("pairs"), F.sum(F.col("x.c") * (1 + F.least(F.col("all") - 1, F.lit(PIVOTS)))).alias("lists")).collect()
     boundary = boundary_of([(r["level"], r["pairs"], float(r["lists"])) for r in costs])
-    keys = sets.mapInArrow(partial(_keys, hot=hot, boundary=boundary), "key long, own long, n long, m long")
+    keys = sets.mapInArrow(partial(_keys, hot=hot, boundary=boundary), "key long, most long, own long, n long, m long")
     keys = written(keys, "jaccard-keys")
 
-    fits = lambda x, y: (9 * F.least(f"{x}.m", f"{y}.m") >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))) & (5 * F.least(f"{x}.n", f"{y}.n") >= 4 * F.greatest(f"{x}.n", f"{y}.n"))
+    fits = lambda x, y: (9 * F.least(f"{x}.most", f"{y}.most") >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))) & (5 * F.least(f"{x}.n", f"{y}.n") >= 4 * F.greatest(f"{x}.n", f"{y}.n"))
     ordered = lambda x, y: (F.least(f"{x}.own", f"{y}.own").alias("a"), F.greatest(f"{x}.own", f"{y}.own").alias("b"))
-    whole = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("open"), "own", "n", "m")
-    other = F.struct(F.xxhash64("own").alias("open"), "own", "n", "m")
+    whole = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("open"), "own", "n", "most")
+    other = F.struct(F.xxhash64("own").alias("open"), "own", "n", "most")
     pivots = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(whole).alias("p"), F.min(other).alias("q")).where("c > 1")
-    pivots = pivots.select("key", F.explode(F.array("p", "q")).alias("p")).select("key", "p.own", "p.n", "p.m")
+    pivots = pivots.select("key", F.explode(F.array("p", "q")).alias("p")).select("key", "p.own", "p.n", "p.most")
     first = keys.alias("x").join(pivots.alias("y"), "key").where(fits("x", "y") & (F.col("x.own") != F.col("y.own"))).select(*ordered("x", "y")).distinct()
     tested = written(_compared(first, sets), "jaccard-tested")
     found = written(components(tested.where("ok"), "a", "b"), "jaccard-components")

@@ -21,7 +21,7 @@ from tessera.llm.common import chunks, partitions, written
 
 HOT = 500_000
 MASK = np.uint64((1 << 48) - 1)
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 TO_BUCKET, PAST, OTHER = 0, 1, 2
 
 
