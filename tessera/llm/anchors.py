@@ -6,7 +6,7 @@ import numpy as np
 
 from tessera.llm.common import byte_sums, mix64, powers, ODD_INVERSE
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 20
 
 
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:

@@ -30,7 +30,8 @@ from tessera.llm.common import byte_sums, chunks, partitions, span_hash, utf8, w
 from tessera.llm.postings import MASK, OTHER, PAST, TO_BUCKET, bucket_of, rows, shared_hashes, six, unsix
 from tessera.llm.suffixes import equal_prefixes, suffix_array
 
-BATCH = 1_500_000
+BATCH = 1_000_000
+FREQUENT = 4096
 LAST = (1 << 63) - 1
 
 
@@ -84,8 +85,9 @@ def _marks(cls: np.ndarray, start: np.ndarray, n: np.ndarray, buckets: int) -> l
 def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Contexts by bucket of their key; of equal ones of a task the first document's alone, the others are marked here."""
     held: list[list[np.ndarray]] = []
+    lost: list[tuple[int, int, bytes]] = []
     total = 0
-    for batch in chunks(batches):
+    for batch in chunks(batches, 1 << 18):
         raw, at = utf8(batch.column("text"))
         own, cls = batch.column("own").to_numpy(), batch.column("class").to_numpy().view(np.uint64)
         _, h, first, last = chosen(raw, at)
@@ -108,13 +110,17 @@ def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int)
         doc = doc[which]
         content = span_hash(byte_sums(raw), begin, begin + size)
         key = np.where(is_hot[which], content & MASK, h[which])
-        held.append([key, content, own[doc], cls[doc], begin - at[doc], size, begin, gather(raw, begin, size)])
-        total += int(size.sum()) + 48 * len(key)
-        if total > 48_000_000:
-            yield rows(_send(held, buckets))
-            held, total = [], 0
+        order, group, least = _leaders(key, content, own[doc])
+        later = own[doc[order]] > least[group]
+        gone, i = order[later], order[~later]
+        lost += _marks(cls[doc[gone]], begin[gone] - at[doc[gone]], size[gone] - WINDOW + 1, buckets)
+        held.append([key[i], content[i], own[doc[i]], cls[doc[i]], begin[i] - at[doc[i]], size[i], gather(raw, begin[i], size[i])])
+        total += int(size[i].sum()) + 48 * len(i) + 16 * len(gone)
+        if total > 24_000_000:
+            yield rows(lost + _send(held, buckets))
+            held, lost, total = [], [], 0
     if held:
-        yield rows(_send(held, buckets))
+        yield rows(lost + _send(held, buckets))
 
 
 def span_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,7 +138,7 @@ def _leaders(key: np.ndarray, content: np.ndarray, own: np.ndarray) -> tuple[np.
 
 
 def _send(held: list[list[np.ndarray]], buckets: int) -> list[tuple[int, int, bytes]]:
-    key, content, own, cls, start, size, _, data = (np.concatenate([x[k] for x in held]) for k in range(8))
+    key, content, own, cls, start, size, data = (np.concatenate([x[k] for x in held]) for k in range(7))
     place = np.cumsum(size) - size
     order, group, least = _leaders(key, content, own)
     later = own[order] > least[group]
@@ -271,14 +277,14 @@ def _verdicts(docs: DataFrame, texts: bool) -> tuple[DataFrame, DataFrame]:
     info = written(d.select("doc_id", "class", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")), "repeats-info")
     owners = written(info.groupBy("class").agg(F.min("doc_id").alias("own")), "repeats-owners")
     total = info.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    shared, hot = shared_hashes(d.where(F.octet_length("text") >= WINDOW), _anchors, total // 13, "repeats-shared")
+    shared, hot = shared_hashes(d.where(F.octet_length("text") >= WINDOW), _anchors, total // 13, "repeats-shared", FREQUENT)
     mine = shared.join(owners, "class").withColumnRenamed("own", "doc_id").withColumnRenamed("class", "its")
     marked = d.join(mine, "doc_id").where("class = its").select("class", F.col("doc_id").alias("own"), "text", "hashes")
     marked = written(marked, "repeats-texts")
-    n = max(partitions(spark), -(-total // 16_000_000))
+    n = max(partitions(spark), -(-total // 4_000_000))
     sent = marked.mapInArrow(partial(_contexts, hot=hot, buckets=n), "bucket int, kind int, data binary")
     marks = sent.groupBy("bucket").applyInArrow(lambda t: _sort(t, buckets=n), "bucket int, kind int, data binary")
-    marks = marks.groupBy("bucket").applyInArrow(lambda t: _gathered(t), "class long, marks binary")
+    marks = written(marks.groupBy("bucket").applyInArrow(lambda t: _gathered(t), "class long, marks binary"), "repeats-marks")
     cut = marked.select("class", "text").join(marks, "class").mapInArrow(partial(_cut, texts=texts), "class long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     one = cut.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept_text")))
     return info, written(owners.join(one, "class", "left"), "repeats-verdicts")
