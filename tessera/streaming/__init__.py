@@ -1,0 +1 @@
+"""The engine has no streaming operators: its programs are batch programs from end to end."""
