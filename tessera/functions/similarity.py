@@ -23,26 +23,20 @@ def tokens(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either > 0, both / either).otherwise(0.0)
-
-
-def token_jaccard(a: Column, b: Column) -> Column:
-    return F.when((a != "") & (b != ""), jaccard(tokens(a), tokens(b))).otherwise(0.0)
+    """Of arrays without repeats."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) > 0, both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
 
 
 def token_overlap(a: Column, b: Column) -> Column:
-    x, y = tokens(a), tokens(b)
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(0.0)
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
 def grams(c: Column, n: int = 3) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
-
-
-def ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
-    return F.when((F.length(a) >= n) & (F.length(b) >= n), jaccard(grams(a, n), grams(b, n))).otherwise(0.0)
+    """The distinct n-grams, none of a shorter string."""
+    each = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
+    return F.when(F.length(c) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
 def same_found(a: Column, b: Column, pattern: str) -> Column:
@@ -67,11 +61,13 @@ def shared_number(a: Column, b: Column) -> Column:
 NATIVE = ("f1_n_exact", "f4_n_jaccard", "f5_n_overlap", "f6_n_ngram", "f7_n_len_diff", "f8_n_prefix", "f9_a_exact", "f10_a_jaccard", "f12_a_house", "f13_a_postal", "f14_a_city_overlap", "f15_a_len_diff", "f16_country_match", "f17_is_s3", "f18_n_missing", "f19_a_missing")
 
 
-def native_features(n1: Column, n2: Column, a1: Column, a2: Column, c1: Column, c2: Column, source: Column) -> list[Column]:
-    """The sixteen native features of prepared strings, in the order of NATIVE."""
-    jac = token_jaccard(a1, a2)
+def native_features(x: dict[str, Column], source: Column) -> list[Column]:
+    """The sixteen native features, in the order of NATIVE, of prepared names n, addresses a, countries c, tokens t and u, grams g."""
+    n1, n2, a1, a2, c1, c2 = (x[k] for k in ("n1", "n2", "a1", "a2", "c1", "c2"))
+    jac = jaccard(x["u1"], x["u2"])
     made = (
-        flag((n1 != "") & (n1 == n2)), token_jaccard(n1, n2), token_overlap(n1, n2), ngram_jaccard(n1, n2),
+        flag((n1 != "") & (n1 == n2)), jaccard(x["t1"], x["t2"]), token_overlap(x["t1"], x["t2"]),
+        F.when((F.size(x["g1"]) > 0) & (F.size(x["g2"]) > 0), jaccard(x["g1"], x["g2"])).otherwise(0.0),
         F.abs(F.length(n1) - F.length(n2)).cast("double"),
         flag((F.length(n1) >= 4) & (F.length(n2) >= 4) & (F.substring(n1, 1, 4) == F.substring(n2, 1, 4))),
         flag((a1 != "") & (a1 == a2)), jac, same_found(a1, a2, r"(?U)\b\d+\b"), same_found(a1, a2, POSTAL), jac,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels, similarity
@@ -14,29 +14,36 @@ FEATURES = (
 )
 
 
+_FIELDS = {"n": "name", "a": "addr", "c": "country"}
+
+
 def hydrate(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
     """Pairs with both records' name, address and country."""
     side = lambda d, key, p: d.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{p}_{s}") for c, s in (("business_name", "name"), ("business_address", "addr"), ("country", "country"))))
     return pairs.join(side(base, "s1_id", "s1"), "s1_id").join(side(target, "target_id", "s2"), "target_id")
 
 
-def _prepared(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumns({f"{x}{k}": similarity.prepared(F.col(f"s{k}_{c}")) for x, c in (("n", "name"), ("a", "addr"), ("c", "country")) for k in (1, 2)})
+def _described(pairs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The pairs with prepared strings, tokens and grams, each made once: a struct in a generator is not put anew into every use."""
+    strings = F.struct(*(similarity.prepared(F.col(f"s{k}_{c}")).alias(f"{x}{k}") for x, c in _FIELDS.items() for k in (1, 2)))
+    p = pairs.withColumn("s", F.explode(F.array(strings)))
+    lists = F.struct(*(f(F.col(f"s.{x}{k}")).alias(f"{y}{k}") for x, y, f in (("n", "t", similarity.tokens), ("a", "u", similarity.tokens), ("n", "g", similarity.grams)) for k in (1, 2)))
+    p = p.withColumn("l", F.explode(F.array(lists)))
+    return p, {f"{x}{k}": F.col(f"{s}.{x}{k}") for s, names in (("s", "nac"), ("l", "tug")) for x in names for k in (1, 2)}
 
 
 def native_features(pairs: DataFrame, source: str) -> DataFrame:
     """The sixteen features that need no Python."""
-    p = _prepared(pairs)
-    made = similarity.native_features(*(F.col(x) for x in ("n1", "n2", "a1", "a2", "c1", "c2")), F.lit(source))
-    return p.select("s1_id", "target_id", *made)
+    p, x = _described(pairs)
+    return p.select("s1_id", "target_id", *similarity.native_features(x, F.lit(source)))
 
 
 def features(pairs: DataFrame, source: str) -> DataFrame:
     """All 21 features as floats, other columns of the pairs kept."""
-    p = _prepared(pairs)
-    digits = [similarity.digits(F.concat(f"n{k}", f"a{k}")) for k in (1, 2)]
-    p = p.withColumn("kernel", kernels.kernel_features("n1", "n2", "a1", "a2", *digits))
-    made = similarity.native_features(*(F.col(x) for x in ("n1", "n2", "a1", "a2", "c1", "c2")), F.lit(source))
+    p, x = _described(pairs)
+    digits = [similarity.digits(F.concat(x[f"n{k}"], x[f"a{k}"])) for k in (1, 2)]
+    p = p.withColumn("kernel", kernels.kernel_features(x["n1"], x["n2"], x["a1"], x["a2"], *digits))
+    made = similarity.native_features(x, F.lit(source))
     return p.select(*pairs.columns, *made, "kernel.*").select(*pairs.columns, *(F.col(f).cast("float").alias(f) for f in FEATURES))
 
 

@@ -25,7 +25,11 @@ def small_ensemble() -> Column:
 
 def score(features: DataFrame, threshold: float = DEFAULT.threshold) -> DataFrame:
     """s1_id, target_id, prob of the pairs with prob >= threshold."""
-    return features.select("s1_id", "target_id", F.round(small_ensemble(), 6).alias("prob")).where(F.col("prob") >= threshold)
+    # The generator keeps the features from being made anew for every place of the expression and of the filter.
+    prob = F.explode(F.array(F.round(small_ensemble(), 6)))
+    used = ("f1_n_exact", "f4_n_jaccard", "f5_n_overlap", "f6_n_ngram", "f7_n_len_diff", "f8_n_prefix", "f10_a_jaccard")
+    once = features.select("s1_id", "target_id", F.explode(F.array(F.struct(*used))).alias("f")).select("s1_id", "target_id", "f.*")
+    return once.select("s1_id", "target_id", prob.alias("prob")).where(F.col("prob") >= threshold)
 
 
 def train(features: DataFrame, trees: int = 250, rate: float = 0.05, depth: int = 6, seed: int = DEFAULT.seed, validation: str | None = None, columns: tuple[str, ...] = FEATURES) -> PipelineModel:
