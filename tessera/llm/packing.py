@@ -101,7 +101,7 @@ class WordTokenizer:
         return ids, np.concatenate([[0], ends])[np.searchsorted(b, at)]
 
 
-KNOWN_RUNS = 1_000_000
+KNOWN_RUNS = 600_000
 SIGNS = ".,!?;:*#$%&|<>()-\""
 KIND = np.zeros(256, np.uint8)
 KIND[97:123] = 1
@@ -133,7 +133,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, cut i
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(capacity + 1, np.int64)
     cut = TaskContext.get().partitionId()
-    for batch in chunks(batches, 3 << 20):
+    for batch in chunks(batches, 2 << 20):
         rows = []
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenized(batch.column("text"), path)):
             ids += SEPARATOR.to_bytes(4, "little")

@@ -21,7 +21,7 @@ from tessera.llm.common import chunks, partitions, written
 
 HOT = 500_000
 MASK = np.uint64((1 << 48) - 1)
-FLUSH = 2_000_000
+FLUSH = 1_200_000
 TO_BUCKET, PAST, OTHER = 0, 1, 2
 
 
@@ -183,4 +183,5 @@ def shared_hashes(docs: DataFrame, extract: Callable, postings: int, name: str,
     met = written(packed.groupBy("bucket").applyInArrow(lambda t: _meet(t, buckets=n, hot=hot), ROWS), name)
     often = [np.frombuffer(bytes(r["data"]), "<u8") for r in met.where(F.col("kind") == OTHER).select("data").collect()]
     shared = met.where(F.col("kind") == PAST).groupBy("bucket").applyInArrow(lambda t: _gathered(t), "class long, hashes binary")
+    shared.written_to = met.written_to
     return shared, np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint64)

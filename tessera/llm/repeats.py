@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import GRAM, WINDOW, chosen, gram_hashes
-from tessera.llm.common import byte_sums, chunks, partitions, span_hash, utf8, written
+from tessera.llm.common import byte_sums, chunks, discard, partitions, span_hash, utf8, written
 from tessera.llm.postings import MASK, OTHER, PAST, TO_BUCKET, bucket_of, rows, shared_hashes, six, unsix
 from tessera.llm.suffixes import equal_prefixes, suffix_array
 
@@ -116,7 +116,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int)
         lost += _marks(cls[doc[gone]], begin[gone] - at[doc[gone]], size[gone] - WINDOW + 1, buckets)
         held.append([key[i], content[i], own[doc[i]], cls[doc[i]], begin[i] - at[doc[i]], size[i], gather(raw, begin[i], size[i])])
         total += int(size[i].sum()) + 48 * len(i) + 16 * len(gone)
-        if total > 24_000_000:
+        if total > 12_000_000:
             yield rows(lost + _send(held, buckets))
             held, lost, total = [], [], 0
     if held:
@@ -281,13 +281,16 @@ def _verdicts(docs: DataFrame, texts: bool) -> tuple[DataFrame, DataFrame]:
     mine = shared.join(owners, "class").withColumnRenamed("own", "doc_id").withColumnRenamed("class", "its")
     marked = d.join(mine, "doc_id").where("class = its").select("class", F.col("doc_id").alias("own"), "text", "hashes")
     marked = written(marked, "repeats-texts")
+    discard(shared)
     n = max(partitions(spark), -(-total // 4_000_000))
     sent = marked.mapInArrow(partial(_contexts, hot=hot, buckets=n), "bucket int, kind int, data binary")
     marks = sent.groupBy("bucket").applyInArrow(lambda t: _sort(t, buckets=n), "bucket int, kind int, data binary")
     marks = written(marks.groupBy("bucket").applyInArrow(lambda t: _gathered(t), "class long, marks binary"), "repeats-marks")
     cut = marked.select("class", "text").join(marks, "class").mapInArrow(partial(_cut, texts=texts), "class long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     one = cut.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept_text")))
-    return info, written(owners.join(one, "class", "left"), "repeats-verdicts")
+    verdicts = written(owners.join(one, "class", "left"), "repeats-verdicts")
+    discard(marked, marks, owners)
+    return info, verdicts
 
 
 NOTHING = hashlib.sha256(b"").hexdigest()

@@ -133,7 +133,7 @@ class Lexicon:
     def hits(self, words: list[str]) -> list[tuple[int, int, str]]:
         """Place, kind and term of the words that match; answers are kept by word."""
         known = self._known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         for w in {*words}.difference(known):
             known[w] = self.match(w)
