@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -79,6 +81,14 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES, column: s
             end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    trim()
+
+
+def trim() -> None:
+    """Gives back to the system what a task has freed: workers are used again by the next stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

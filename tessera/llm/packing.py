@@ -143,6 +143,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
                 rows.append((doc_id, k, k * capacity, n, zlib.crc32(part), cut, int(seen[n])))
                 seen[n] += 1
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], PIECES.replace(",", "").split()[::2])
+    if path in _tokenizers:
+        _tokenizers[path]._clear()  # later stages share this worker's memory
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
