@@ -1,9 +1,13 @@
 """LM scoring: stupid-backoff scores, computed relationally.
 
-N-gram count tables, partitioned by the n-gram's hash, are joined to the documents' exploded n-grams from the longest
-order down: an n-gram counted at least `least` times scores count / count of its context; else ALPHA times the score of
-the n-gram without its first word; a single word scores count / number of words. A document's score is the mean of the
-logarithms. Counts cover all documents and are aggregated before they are shuffled; joins on n-grams are skew-split.
+N-gram count tables, partitioned by the n-gram's hash, are joined to the documents' exploded n-grams: an n-gram counted at
+least `least` times scores count / count of its context; else ALPHA times the score of the n-gram without its first word; a
+single word scores count / number of words. A document's score is the mean of the logarithms. Counts cover all documents.
+
+The rows of both tables travel packed. Documents are written in blocks of about `BLOCK_BYTES` of text. A block sends each of
+its distinct n-grams once, with its own count, to the bucket of the hash, so a bucket gets an n-gram at most once from a block
+however frequent it is; the bucket adds the counts and answers each block in the order asked. A block with its answers
+then scores its documents alone. A message holds one n-gram or more, so there are never more rows than n-grams.
 Contract of `score_documents`: one row per distinct doc_id (rows of one doc_id are one document); null, empty and blank
 texts have no words and a null score; a null doc_id goes; an empty table gives no rows; other columns are dropped.
 """
@@ -16,69 +20,155 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, chunks, mix64, two, utf8, word_hashes, written
+from tessera.llm.common import LOWER, chunks, mix64, partitions, trim, two, utf8, word_hashes, written
 
 ORDER, LEAST, ALPHA = 3, 2, 0.4
+BLOCK_BYTES = 6 << 20
+BUCKET_GRAMS = 2_000_000
+BLOCKS, MESSAGES = "block long, n_words long, data binary", "bucket int, block long, data binary"
 
 
 def gram_hash(words: list[np.ndarray]) -> np.ndarray:
     out = np.full(len(words[0]), np.uint64(len(words)))
     for w in words:
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + w)
-    return out.view(np.int64)
+    return out
 
 
-def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Of each document and distinct n-gram (up to `order` words that end at one place) its number and the hashes of its parts.
+def _zipped(raw: bytes) -> bytes:
+    return np.uint64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
-    Columns g1..g<order> are the n-grams that end at the place, longest last (null at a text's beginning); c1.. their contexts.
-    """
-    for batch in chunks(batches, 1 << 19):
+
+def _unzipped(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _counts_out(n: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 or more stand in full behind."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u8").tobytes()
+
+
+def _counts_in(raw: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(raw, "<u8", offset=size)
+    return n
+
+
+def _sorted_out(h: np.ndarray) -> bytes:
+    """Ascending hashes as differences, by planes of bytes: the high planes are nearly empty."""
+    return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _sorted_in(raw: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, 8 * size).reshape(8, size)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, k = TaskContext.get().partitionId(), 0
+    for batch in chunks(batches, BLOCK_BYTES):
         raw, at = utf8(batch.column("text"))
-        h, doc = word_hashes(LOWER[raw], at)
-        n = len(h)
-        columns, names = [batch.column("doc_id").take(pa.array(doc))], ["doc_id"]
-        for k in range(1, order + 1):
-            inside = np.zeros(n, bool)
-            inside[k - 1 :] = doc[k - 1 :] == doc[: n - k + 1] if n >= k else inside[k - 1 :]
-            grams, contexts = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            if n >= k:
-                parts = [h[j : n - k + 1 + j] for j in range(k)]
-                grams[k - 1 :] = gram_hash(parts)
-                if k > 1:
-                    contexts[k - 1 :] = gram_hash(parts[:-1])
-            columns += [pa.array(grams, mask=~inside), pa.array(contexts, mask=~inside)]
-            names += [f"g{k}", f"c{k}"]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        n = len(word_hashes(raw, at)[0])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "n_words", "data"])
+        k += 1
+
+
+def _exploded(data: bytes, order: int) -> tuple[pa.Array, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of a block: doc_ids, each word's document, each order's places and n-grams (that end there).
+
+    A place is the number of the n-gram's last word in the block; no n-gram goes over the end of a document.
+    """
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    raw, at = utf8(batch.column("text"))
+    h, doc = word_hashes(LOWER[raw], at)
+    places, grams = [], []
+    for k in range(1, order + 1):
+        if len(h) < k:
+            places.append(np.zeros(0, np.int64))
+            grams.append(np.zeros(0, np.uint64))
+            continue
+        inside = np.flatnonzero(doc[k - 1 :] == doc[: len(doc) - k + 1])
+        places.append(inside + k - 1)
+        grams.append(gram_hash([h[inside + j] for j in range(k)]))
+    return batch.column("doc_id"), doc, places, grams
+
+
+def _asked(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each block's distinct n-grams of all orders with their counts, a message to each bucket."""
+    for batch in batches:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+            found = [np.unique(g, return_counts=True) for g in _exploded(data, order)[3]]
+            h, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            by = np.argsort(h, kind="stable")
+            h, n = h[by], n[by]
+            to = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+            sent = [_zipped(np.uint64(e - b).tobytes() + _sorted_out(h[b:e]) + _counts_out(n[b:e])) for b, e in zip(cut, [*cut[1:], len(h)])]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array([block] * len(cut), pa.int64()), pa.array(sent, pa.binary())], ["bucket", "block", "data"])
+    trim()
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """The count table of a bucket, joined to what the blocks asked: a count for each n-gram of each message, in its order."""
+    hashes, counts = [], []
+    for data in asked.column("data").to_pylist():
+        raw = _unzipped(data)
+        size = int.from_bytes(raw[:8], "little")
+        hashes.append(_sorted_in(raw[8 : 8 + 8 * size], size))
+        counts.append(_counts_in(raw[8 + 8 * size :], size))
+    ends = np.cumsum([len(x) for x in hashes]).tolist()
+    h, n = np.concatenate(hashes), np.concatenate(counts)
+    del hashes, counts
+    by = np.argsort(h, kind="stable")
+    h = h[by]
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.append(edge, len(h)))
+    every = np.empty(len(h), np.int64)
+    every[by] = np.repeat(np.add.reduceat(n[by], edge), size)
+    out = [_zipped(np.uint64(e - b).tobytes() + _counts_out(every[b:e])) for b, e in zip([0, *ends[:-1]], ends)]
+    return pa.table({"bucket": asked.column("bucket"), "block": asked.column("block"), "data": pa.array(out, pa.binary())})
+
+
+def _scored(block: pa.Table, answers: pa.Table, order: int, least: int, alpha: float, total: int) -> pa.Table:
+    """doc_id, number of words and sum of log scores of each row of a block."""
+    doc_id, doc, places, grams = _exploded(block.column("data")[0].as_py(), order)
+    found = [np.unique(g, return_inverse=True) for g in grams]
+    h = np.concatenate([f[0] for f in found])
+    told = [_unzipped(x) for x in answers.sort_by("bucket").column("data").to_pylist()]
+    counts = np.empty(len(h), np.int64)
+    if len(h):
+        counts[np.argsort(h, kind="stable")] = np.concatenate([_counts_in(x[8:], int.from_bytes(x[:8], "little")) for x in told])
+    score, of, start = np.zeros(len(doc)), np.zeros(len(doc), np.int64), 0
+    for k, (own, inverse) in enumerate(found):
+        n, at = counts[start : start + len(own)][inverse], places[k]
+        start += len(own)
+        hit = n >= (least if k else 1)
+        score[at] += math.log(alpha) if k else 0.0  # backed off from this order, unless it counts
+        score[at[hit]] = np.log(n[hit]) - (np.log(of[at[hit] - 1]) if k else math.log(max(total, 1)))
+        of = np.zeros(len(doc), np.int64)
+        of[at] = n
+    missing = order - 1 - np.minimum(order - 1, np.arange(len(doc)) - np.searchsorted(doc, doc))
+    score += missing * math.log(alpha)  # orders that a document's beginning is too short for
+    return pa.table({"doc_id": doc_id, "n": np.bincount(doc, minlength=len(doc_id)).astype(np.int64), "s": np.bincount(doc, score, len(doc_id)).astype(np.float64)})
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, least: int = LEAST, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words and score (mean of log scores, rounded to 6 places)."""
-    schema = "doc_id long, " + ", ".join(f"g{k} long, c{k} long" for k in range(1, order + 1))
-    d = two(docs).where("doc_id is not null")
-    grams = d.mapInArrow(partial(_grams, order=order), schema)
-    counts = {k: written(grams.where(F.col(f"g{k}").isNotNull()).groupBy(F.col(f"g{k}").alias("g")).agg(F.count("*").alias("n")), f"backoff-counts-{k}") for k in range(1, order + 1)}
-    total = counts[1].agg(F.sum("n")).first()[0] or 1
-    left, parts = grams, []
-    for k in range(order, 0, -1):
-        own = counts[k].where(F.col("n") >= (least if k > 1 else 1)).select(F.col("g").alias(f"g{k}"), "n")
-        joined = left.join(own, f"g{k}", "left")
-        fall = (order - k) * math.log(alpha)
-        hit = joined.where("n is not null")
-        if k > 1:
-            context = counts[k - 1].select(F.col("g").alias(f"c{k}"), F.col("n").alias("of"))
-            scored = hit.join(context, f"c{k}").select("doc_id", (F.log(F.col("n")) - F.log(F.col("of")) + fall).alias("s"))
-        else:
-            scored = hit.select("doc_id", (F.log(F.col("n")) - math.log(total) + fall).alias("s"))
-        parts.append(scored.groupBy("doc_id").agg(F.sum("s").alias("s"), F.count("*").alias("n")))
-        if k > 1:
-            left = joined.where("n is null").drop("n", f"g{k}", f"c{k}")
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    every = d.select("doc_id").distinct().select("doc_id", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
-    sums = union.unionByName(every).groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("s"))
+    spark = docs.sparkSession
+    blocks = written(two(docs).where("doc_id is not null").mapInArrow(_blocks, BLOCKS), "backoff-blocks")
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(partitions(spark), -(-order * total // BUCKET_GRAMS))
+    asked = blocks.select("block", "data").mapInArrow(partial(_asked, order=order, buckets=buckets), MESSAGES)
+    answers = written(asked.groupBy("bucket").applyInArrow(_answered, MESSAGES), "backoff-counts")
+    score = partial(_scored, order=order, least=least, alpha=alpha, total=total)
+    both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    sums = both.applyInArrow(lambda b, a: score(b, a), "doc_id long, n long, s double")
+    sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("s"))
     return sums.select("doc_id", "n_words", F.round(F.when(F.col("n_words") > 0, F.col("s") / F.col("n_words")), 6).alias("score"))
