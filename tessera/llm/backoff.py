@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, chunks, mix64, partitions, trim, two, utf8, word_hashes, written
+from tessera.llm.common import LOWER, chunks, mix64, partitions, trim, two, utf8, word_hashes, words_of, written
 
 ORDER, LEAST, ALPHA = 3, 2, 0.4
 BLOCK_BYTES = 6 << 20
@@ -72,7 +72,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, k = TaskContext.get().partitionId(), 0
     for batch in chunks(batches, BLOCK_BYTES):
         raw, at = utf8(batch.column("text"))
-        n = len(word_hashes(raw, at)[0])
+        n = len(words_of(raw, at)[0])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(batch)
@@ -86,8 +86,14 @@ def _exploded(data: bytes, order: int) -> tuple[pa.Array, np.ndarray, list[np.nd
     A place is the number of the n-gram's last word in the block; no n-gram goes over the end of a document.
     """
     batch = pa.ipc.open_stream(data).read_next_batch()
-    raw, at = utf8(batch.column("text"))
-    h, doc = word_hashes(LOWER[raw], at)
+    hashes, docs, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for piece in chunks(iter([batch])):  # hashing takes 40 bytes a byte: little at once
+        raw, at = utf8(piece.column("text"))
+        h, doc = word_hashes(LOWER[raw], at)
+        hashes.append(h)
+        docs.append(doc + start)
+        start += piece.num_rows
+    h, doc = np.concatenate(hashes), np.concatenate(docs)
     places, grams = [], []
     for k in range(1, order + 1):
         if len(h) < k:
