@@ -29,6 +29,7 @@ from tessera.llm.common import LOWER, chunks, mix64, partitions, trim, two, utf8
 ORDER, LEAST, ALPHA = 3, 2, 0.4
 BLOCK_BYTES = 6 << 20
 BUCKET_GRAMS = 2_000_000
+SPARE_BITS = 28
 BLOCKS, MESSAGES = "block long, n_words long, data binary", "bucket int, block long, data binary"
 
 
@@ -59,7 +60,7 @@ def _counts_in(raw: bytes, size: int) -> np.ndarray:
 
 
 def _sorted_out(h: np.ndarray) -> bytes:
-    """Ascending hashes as differences, by planes of bytes: the high planes are nearly empty."""
+    """Ascending hashes as differences, by planes of bytes: the high planes, and the low ones of masked hashes, are nearly empty."""
     return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
@@ -80,7 +81,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k += 1
 
 
-def _exploded(data: bytes, order: int) -> tuple[pa.Array, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _mask(grams: int) -> np.uint64:
+    """Keeps the upper bits of a hash: two n-grams of `grams` share them by chance at most once in 2 ** SPARE_BITS, up to 2 ** 36 n-grams."""
+    return np.uint64((1 << 64) - (1 << max(0, 64 - SPARE_BITS - grams.bit_length())))
+
+
+def _exploded(data: bytes, order: int, mask: np.uint64) -> tuple[pa.Array, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Of a block: doc_ids, each word's document, each order's places and n-grams (that end there).
 
     A place is the number of the n-gram's last word in the block; no n-gram goes over the end of a document.
@@ -102,15 +108,15 @@ def _exploded(data: bytes, order: int) -> tuple[pa.Array, np.ndarray, list[np.nd
             continue
         inside = np.flatnonzero(doc[k - 1 :] == doc[: len(doc) - k + 1])
         places.append(inside + k - 1)
-        grams.append(gram_hash([h[inside + j] for j in range(k)]))
+        grams.append(gram_hash([h[inside + j] for j in range(k)]) & mask)
     return batch.column("doc_id"), doc, places, grams
 
 
-def _asked(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], order: int, buckets: int, mask: np.uint64) -> Iterator[pa.RecordBatch]:
     """Each block's distinct n-grams of all orders with their counts, a message to each bucket."""
     for batch in batches:
         for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-            found = [np.unique(g, return_counts=True) for g in _exploded(data, order)[3]]
+            found = [np.unique(g, return_counts=True) for g in _exploded(data, order, mask)[3]]
             h, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             by = np.argsort(h, kind="stable")
             h, n = h[by], n[by]
@@ -142,9 +148,9 @@ def _answered(asked: pa.Table) -> pa.Table:
     return pa.table({"bucket": asked.column("bucket"), "block": asked.column("block"), "data": pa.array(out, pa.binary())})
 
 
-def _scored(block: pa.Table, answers: pa.Table, order: int, least: int, alpha: float, total: int) -> pa.Table:
+def _scored(block: pa.Table, answers: pa.Table, order: int, least: int, alpha: float, total: int, mask: np.uint64) -> pa.Table:
     """doc_id, number of words and sum of log scores of each row of a block."""
-    doc_id, doc, places, grams = _exploded(block.column("data")[0].as_py(), order)
+    doc_id, doc, places, grams = _exploded(block.column("data")[0].as_py(), order, mask)
     found = [np.unique(g, return_inverse=True) for g in grams]
     h = np.concatenate([f[0] for f in found])
     told = [_unzipped(x) for x in answers.sort_by("bucket").column("data").to_pylist()]
@@ -170,10 +176,11 @@ def score_documents(docs: DataFrame, order: int = ORDER, least: int = LEAST, alp
     spark = docs.sparkSession
     blocks = written(two(docs).where("doc_id is not null").mapInArrow(_blocks, BLOCKS), "backoff-blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    mask = _mask(order * total)
     buckets = max(partitions(spark), -(-order * total // BUCKET_GRAMS))
-    asked = blocks.select("block", "data").mapInArrow(partial(_asked, order=order, buckets=buckets), MESSAGES)
+    asked = blocks.select("block", "data").mapInArrow(partial(_asked, order=order, buckets=buckets, mask=mask), MESSAGES)
     answers = written(asked.groupBy("bucket").applyInArrow(_answered, MESSAGES), "backoff-counts")
-    score = partial(_scored, order=order, least=least, alpha=alpha, total=total)
+    score = partial(_scored, order=order, least=least, alpha=alpha, total=total, mask=mask)
     both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
     sums = both.applyInArrow(lambda b, a: score(b, a), "doc_id long, n long, s double")
     sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("s"))
