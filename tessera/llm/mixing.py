@@ -130,7 +130,8 @@ def plan(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFra
 def pieces(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Placed documents; and of each document with words the parts [from, to) in its own words with the times taken."""
     d, _, slots = plan(docs, block, seed)
-    times = slots.groupBy("place", "block").agg(F.count("*").alias("times"))
+    # The planner takes exploded slots to be as few as the draws that they come from; they grow with the corpus.
+    times = slots.groupBy("place", "block").agg(F.count("*").alias("times")).hint("merge")
     cut = d.where("size > 0").withColumn("block", F.explode(F.expr("sequence(begin div length, (begin + size - 1) div length)")))
     cut = cut.withColumn("from", F.greatest(F.col("block") * F.col("length"), F.col("begin")) - F.col("begin"))
     cut = cut.withColumn("to", F.least((F.col("block") + 1) * F.col("length"), F.col("begin") + F.col("size")) - F.col("begin"))
