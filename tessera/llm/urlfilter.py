@@ -2,9 +2,9 @@
 
 An entry (key, action, effective) holds from its date until the next entry of the same key. Keys are a domain, a host
 or a host with its first path segment; the most specific active entry decides. 'clear' ends a key's listing.
-Contract of `judge_captures`: one row per capture row (repeated rows repeat: give distinct capture ids); a null url has
-no keys and is 'unlisted'; a null fetch time meets no interval; ties in a key's dates: the later action by name wins;
-an empty list or an empty table is fine; other columns are dropped.
+Contract of `judge_captures`: one row per distinct capture_id (repeated rows are one; of rows that differ the most
+specific hit); a null url has no keys and is 'unlisted'; a null fetch time meets no interval; ties in a key's dates: the
+later action by name wins; an empty list or an empty table is fine; other columns are dropped.
 """
 
 from __future__ import annotations
