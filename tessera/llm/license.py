@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-TRUNKS = ("licen", "copyright", " gpl", "gpl ", "general public", " cc ", "cc0", "public domain", "rights reserved", "spdx", "wtfpl", "creative commons", "mozilla public", "proprietary")
+# Every match of every rule holds a trunk.
+TRUNKS = (
+    "licen", "copyright", " gpl", "gpl ", "general public", " cc ", "cc0", "public domain", "rights reserved", "spdx", "wtfpl", "creative commons", "mozilla public", "proprietary",
+    "released under ", "distributed under ", "published under ", "available under ", "provided under ", "subject to ", "granted under ", "dedicated to ", "placed in ", "governed by ",
+    "permission is hereby granted", "redistribution and use",
+)
 
 # License names as patterns over words, with a keyword that every match holds, and a label.
 NAMES = (

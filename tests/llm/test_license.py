@@ -61,3 +61,65 @@ def test_awkward_rows(spark):
     for i, t, *_ in rows:
         assert tuple(got[i][c] for c in COLUMNS) == plain(t), t[:80]
     assert license.scan_licenses(fixture(spark, [])).count() == 0
+
+
+def spellings(rx, most=1):
+    """Strings of a rule's pattern, with the last digit of each range: all, or with most=0 those without any optional part."""
+
+    def some(parsed):
+        out = [""]
+        for op, x in parsed:
+            kind = str(op)
+            if kind == "LITERAL":
+                ways = [chr(x)]
+            elif kind == "IN":
+                ways = [chr(v if str(k) == "LITERAL" else v[1]) for k, v in x]
+            elif kind == "SUBPATTERN":
+                ways = some(x[-1])
+            elif kind == "BRANCH":
+                ways = [w for way in x[1] for w in some(way)]
+            elif kind == "MAX_REPEAT":
+                ways = [w * n for n in {x[0], max(x[0], x[1] * most)} for w in some(x[2])]
+            else:
+                raise ValueError(kind)
+            out = [a + w for a in out for w in ways]
+        return out
+
+    return some(re._parser.parse(rx))
+
+
+def test_no_trunk_gate_hides_a_rule():
+    for label, _, _, rx in license.rules():
+        for x in spellings(rx, 0):
+            assert any(t in f" {x} " for t in license.TRUNKS), (label, x)
+
+
+UNGATED = {
+    "Released under the MIT": "mit",
+    "Distributed under BSD-3-Clause": "bsd-3-clause",
+    "available under Apache 2.0": "apache-2",
+    "provided under MPL 2.0": "mpl-2",
+    "published under ISC": "isc",
+    "governed by ISC": "isc",
+    "subject to zlib": "zlib",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+}
+
+
+def test_texts_without_the_word_license(spark):
+    got = by_id(license.scan_licenses(fixture(spark, [(i, t, None, None, None) for i, t in enumerate(UNGATED)])))
+    for i, (t, label) in enumerate(UNGATED.items()):
+        assert (got[i]["labels"], got[i]["n_detections"]) == (label, 1), t
+
+
+def test_whole_table_without_gates(spark, monkeypatch):
+    """Against plain code that runs every rule on every text."""
+    d = table(spark, "/root/testdata/sf0.01", "documents").limit(1500)
+    rows = [(r["doc_id"], r["text"], None, None, None) for r in d.collect()]
+    rows += [(10**9 + i, f"{t} {rows[i][1]}", None, None, None) for i, t in enumerate([*UNGATED, *MORE])]
+    got = by_id(license.scan_licenses(fixture(spark, rows)))
+    monkeypatch.setattr(license, "TRUNKS", ("",))
+    monkeypatch.setitem(globals(), "RULES", [(label, p, "", rx) for label, p, _, rx in RULES])
+    for i, t, *_ in rows:
+        assert tuple(got[i][c] for c in COLUMNS) == plain(t), t[:80]
