@@ -53,13 +53,14 @@ NAMES = (
     ("cc-by-nd", "cc by nd", "cc by nd(?: [1-4](?: [05])?)?"),
     ("cc-by-sa", "cc by sa", "cc by sa(?: [1-4](?: [05])?)?"),
     ("cc-by", "cc by", "cc by(?: [1-4](?: [05])?)?"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial(?: [1-4](?: [05])?)?(?: international)?"),
+    ("cc-by-nc", "commercial", "creative commons attribution non ?commercial(?: [1-4](?: [05])?)?(?: international)?"),
     ("cc-by-sa", "share", "creative commons attribution share ?alike(?: [1-4](?: [05])?)?(?: international)?"),
     ("cc-by", "creative commons", "creative commons attribution(?: [1-4](?: [05])?)?(?: international)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "(?:the )?wtfpl(?: version| v)?(?: 2)?"),
     ("public-domain", "public domain", "(?:the )?public domain"),
-    ("python-2", "python", "(?:the )?(?:psf|python software foundation)(?: license)?(?: version)?(?: 2)?"),
+    ("python-2", "psf", "(?:the )?psf(?: license)?(?: version)?(?: 2)?"),
+    ("python-2", "python", "(?:the )?python software foundation(?: license)?(?: version)?(?: 2)?"),
     ("proprietary", "proprietary", "(?:a )?proprietary"),
 )
 # How a license is stated around its name; priority 4 is the surest.

@@ -123,3 +123,22 @@ def test_whole_table_without_gates(spark, monkeypatch):
     monkeypatch.setitem(globals(), "RULES", [(label, p, "", rx) for label, p, _, rx in RULES])
     for i, t, *_ in rows:
         assert tuple(got[i][c] for c in COLUMNS) == plain(t), t[:80]
+
+
+def test_every_spelling_holds_its_keyword():
+    for _, word, name in license.NAMES:
+        assert all(word in x for x in spellings(name)), name
+    for _, _, word, rx in license.NOTICES:
+        assert all(word in x for x in spellings(rx)), rx
+
+
+def test_spellings_of_a_name(spark):
+    want = {
+        "Licensed under Creative Commons Attribution-Non-Commercial 4.0": "cc-by-nc",
+        "Licensed under Creative Commons Attribution-NonCommercial 4.0": "cc-by-nc",
+        "Licensed under the PSF license": "python-2",
+        "Licensed under the Python Software Foundation License Version 2": "python-2",
+    }
+    got = by_id(license.scan_licenses(fixture(spark, [(i, t, None, None, None) for i, t in enumerate(want)])))
+    for i, (t, label) in enumerate(want.items()):
+        assert (got[i]["labels"], got[i]["n_detections"], got[i]["score"]) == (label, 1, 1.0), t
