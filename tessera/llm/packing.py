@@ -48,7 +48,7 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.runs: dict[int, int] = {}  # hash -> place in the pool << 20 | number of ids
+        self.runs: dict[int, int] = {}  # hash -> place in the pool << 31 | number of ids, as a text has less than 2^31 bytes
         self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
 
     def _add(self, hashes: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
@@ -56,7 +56,7 @@ class WordTokenizer:
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), len(self.pool)), "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
         begins = np.concatenate([[0], ends[:-1]])
-        self.runs.update(zip(hashes, (self.used + begins << 20 | ends - begins).tolist()))
+        self.runs.update(zip(hashes, (self.used + begins << 31 | ends - begins).tolist()))
         self.used += len(ids)
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
@@ -95,9 +95,9 @@ class WordTokenizer:
             self._learn([keys[i] for i in new.tolist()], [data[x:y].decode() for x, y in zip(b[first[new]].tolist(), e[first[new]].tolist())])
             found[new] = [self.runs[keys[i]] for i in new.tolist()]
         found = found[which]
-        n = found & (1 << 20) - 1
+        n = found & (1 << 31) - 1
         ends = np.cumsum(n)
-        ids = self.pool[np.repeat((found >> 20) - (ends - n), n) + np.arange(n.sum())]
+        ids = self.pool[np.repeat((found >> 31) - (ends - n), n) + np.arange(n.sum())]
         return ids, np.concatenate([[0], ends])[np.searchsorted(b, at)]
 
 

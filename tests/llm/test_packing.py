@@ -55,6 +55,12 @@ def test_empty_table(spark):
     assert packing.pack_documents(fixture(spark, []), PATH).count() == 0
 
 
+def test_runs_of_many_ids(spark):
+    texts = ["before", "7" * ((1 << 20) + 7), "between 12 after", "7" * ((1 << 20) + 7) + " tail"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    verify(packing.pack_documents(fixture(spark, rows).coalesce(1), PATH).collect(), [(i, t) for i, t, *_ in rows], 0.2)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 400), max_size=40))
 def test_plans_hold_every_piece_once(histogram):
