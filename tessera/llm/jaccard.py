@@ -12,8 +12,8 @@
    components. Then only members of different components are compared. Overlaps are counted on the shared shingles,
    which hold every common one, so each comparison is exact.
 Contract of `near_duplicates`: one row per input row; null, empty and blank texts have no shingles and are linked with
-nothing; copies (ties) are one class; rows with one doc_id are one document; a null doc_id stays null and is linked
-with nothing but its copies, its component_id the smallest doc_id it reaches or null; an empty table gives no rows;
+nothing; copies (ties) are one class; classes with the same smallest doc_id are one document; a null doc_id stays null
+and its text is linked as any other, its component_id the smallest doc_id it reaches or null; an empty table gives no rows;
 other columns are dropped. Shingles are named by hashes of 64 bits, 48 of them in the postings.
 """
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import LOWER, byte_sums, chunks, mix64, powers, span_hash, two, utf8, words_of, window_hashes, written
 from tessera.llm.components import components
@@ -33,7 +34,6 @@ from tessera.llm.postings import shared_hashes
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5  # a link is a Jaccard similarity of 4 / 5 or more
-LAST = (1 << 63) - 1
 PIVOTS, FREQUENT = 2, 32
 
 
@@ -165,18 +165,18 @@ def boundary_of(rows: list[tuple[int, float, float]]) -> int:
     return at
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id."""
+def _verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, class, n_shingles); and of each class its component (its smallest class) and the component's smallest doc_id."""
     d = two(docs)
     members = written(d.mapInArrow(_members, "doc_id long, class long, n_shingles long"), "jaccard-members")
-    classes = members.where("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("own"), F.max("n_shingles").alias("n"))
+    classes = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     classes = written(classes, "jaccard-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared, hot = shared_hashes(d, shingle_sets, total, "jaccard-shared", FREQUENT)
     m = (F.octet_length("hashes") / 8).cast("long")
     # A partner of size s >= 0.8 n shares at least 4/9 (n + s) of the m, so m >= 0.8 n.
-    sets = shared.join(classes, "class").withColumn("m", m).where("5 * m >= 4 * n").select("own", "n", "m", "hashes")
-    sets = written(sets.dropDuplicates(["own"]), "jaccard-sets")
+    sets = shared.join(classes, "class").withColumn("m", m).where("5 * m >= 4 * n").select(F.col("class").alias("own"), "n", "m", "hashes")
+    sets = written(sets, "jaccard-sets")
     counts = sets.mapInArrow(partial(_costs, hot=hot), "key long, level int, pairs double").groupBy("key", "level").agg(F.count("*").alias("c"), F.sum("pairs").alias("pairs"))
     lists = counts.groupBy("key").agg(F.sum("c").alias("all"), F.collect_list(F.struct("level", "c", "pairs")).alias("by"))
     costs = lists.select("all", F.explode("by").alias("x")).groupBy("x.level").agg(F.sum("x.pairs").alias("pairs"), F.sum(F.col("x.c") * (1 + F.least(F.col("all") - 1, F.lit(PIVOTS)))).alias("lists")).collect()
@@ -200,14 +200,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = left.alias("x").join(left.alias("y"), "key").where((F.col("x.component") < F.col("y.component")) & fits("x", "y")).select(*ordered("x", "y")).distinct()
     rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     late = written(_compared(rest, sets), "jaccard-late")
-    edges = tested.where("ok").unionByName(late.where("ok")).select("a", "b")
-    found = components(edges, "a", "b").withColumnRenamed("node", "own")
-    verdict = written(classes.join(found, "own", "left").select("class", F.coalesce("component", "own").alias("component")), "jaccard-verdicts")
+    known = classes.where("least IS NOT NULL")
+    twice = known.groupBy("least").agg(F.min("class").alias("a"), F.count("*").alias("c")).where("c > 1").select("least", "a")
+    one = twice.join(known, "least").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b"))
+    edges = tested.where("ok").unionByName(late.where("ok")).select("a", "b").unionByName(one)
+    found = components(edges, "a", "b").withColumnRenamed("node", "class")
+    placed = written(classes.join(found, "class", "left"), "jaccard-verdicts")
+    low = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("low"))
+    placed = placed.withColumn("component", F.coalesce("component", "class")).join(low, "component", "left")
+    return members, placed.select("class", "component", F.coalesce("low", "least").alias("component_id"))
+
+
+def _near(members: DataFrame, verdicts: DataFrame) -> DataFrame:
     nothing = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return members.where("n_shingles > 0").join(verdict, "class").select("doc_id", "n_shingles", F.when(F.col("component") < LAST, F.col("component")).alias("component_id")).unionByName(nothing)
+    return members.where("n_shingles > 0").join(verdicts, "class").select("doc_id", "n_shingles", "component_id").unionByName(nothing)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id."""
+    return _near(*_verdicts(docs))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        name, size, _ = shingle_sets(batch)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name.view(np.int64)), pa.array(size.astype(np.int64))], [*batch.schema.names, "__class", "__size"])
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Of each group the document with the smallest doc_id, all columns; documents without words all stay. doc_id is unique in docs."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(keep, docs["doc_id"].cast("long") == keep["kept_id"], "left_semi")
+    """Of each group the document with the smallest doc_id, all columns; documents without words all stay. doc_id is unique in docs, or null.
+
+    Of a group without any doc_id one row stays.
+    """
+    members, verdicts = _verdicts(docs)
+    verdicts = written(verdicts, "jaccard-kept")
+    keep = _near(members, verdicts).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
+    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["kept_id"], "left_semi")
+    schema = StructType([*docs.schema.fields, StructField("__class", LongType()), StructField("__size", LongType())])
+    nameless = docs.where(docs["doc_id"].cast("long").isNull()).mapInArrow(_named, schema)
+    alone = verdicts.where("component_id IS NULL AND class = component").select(F.col("class").alias("__class"))
+    alone = nameless.where("__size > 0").join(alone, "__class", "left_semi").dropDuplicates(["__class"])
+    return kept.unionByName(alone.unionByName(nameless.where("__size = 0")).select(docs.columns))

@@ -310,9 +310,15 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with the repeated spans cut out; those of which nothing is left go. doc_id is unique in docs."""
+    """The documents with the repeated spans cut out; those of which nothing is left go. doc_id is unique in docs, or null."""
     info, verdicts = _verdicts(docs, True)
     copy = (F.col("doc_id") > F.col("own")) & (F.col("n_bytes") >= WINDOW)
-    new = info.join(verdicts, "class").select("doc_id", F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text"))
+    new = info.where(F.col("doc_id") < LAST).join(verdicts, "class").select("doc_id", F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text"))
+    # Rows without a doc_id find their verdict by their text's class; one that a document with a doc_id has too is a copy.
+    nameless = docs.where(F.col("doc_id").cast("long").isNull()).withColumn("class", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    again = (F.col("own") < LAST) & (F.octet_length(F.coalesce("text", F.lit(""))) >= WINDOW)
+    nameless = nameless.join(verdicts, "class").withColumn("kept_text", F.when(again, "").otherwise(F.col("kept_text")))
+    columns = ["doc_id", "text", "lang", "source", "kept_text"]
     text = F.coalesce("kept_text", "text")
-    return docs.join(new, "doc_id").where((text != "") | (F.coalesce("text", F.lit("")) == "")).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    found = docs.join(new, "doc_id").select(columns).unionByName(nameless.select(columns))
+    return found.where((text != "") | (F.coalesce("text", F.lit("")) == "")).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))

@@ -99,3 +99,17 @@ def test_awkward_rows(spark):
     kept = jaccard.without_near_duplicates(fixture(spark))
     want = {i for i, (_, c) in brute([(i, t) for i, t, *_ in rows]).items() if i == c}
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == fixture(spark).columns
+
+
+def test_rows_without_doc_id(spark):
+    words = [f"n{i}" for i in range(60)]
+    near, other, lone = " ".join(words), " ".join(f"o{i}" for i in range(60)), " ".join(f"l{i}" for i in range(60))
+    rows = [(5, near + " tail"), (7, lone), (None, near), (None, other), (None, other), (None, other + " tail"), (None, lone), (None, "unlike all of the others here"), (None, ""), (None, None)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.near_duplicates(d).collect())
+    want = [(5, 57, 5), (7, 56, 7), (0, 56, 5), (0, 56, 0), (0, 56, 0), (0, 57, 0), (0, 56, 7), (0, 2, 0), (0, 0, 0), (0, 0, 0)]
+    assert got == sorted(want)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.without_near_duplicates(d).collect()]
+    others = [x for x in kept if x[1] and x[1].startswith(other)]
+    assert len(others) == 1
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[1], others[0], *rows[7:]]))

@@ -96,3 +96,11 @@ def test_cut_documents(spark):
         assert (i not in got) == bool(gone)
         if not gone and want[i][1] == 0:
             assert got[i]["text"] == t
+
+
+def test_rows_without_doc_id_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(5, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[0] + " and more words"), (None, "short"), (None, "")]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in repeats.without_repeats(d).collect())
+    assert got == sorted([("5", texts[0]), ("None", texts[1]), ("None", " and more words"), ("None", "short"), ("None", "")])
