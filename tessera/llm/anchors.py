@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 
-from tessera.llm.common import byte_sums, mix64, powers, ODD_INVERSE
+from tessera.llm.common import GOLD, eights, mix64
 
 WINDOW, GRAM = 50, 20
 
 
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A hash of raw[i : i + gram] for every i that has so many bytes."""
-    run = byte_sums(raw)
+    """A hash of raw[i : i + gram] (8 bytes at least) for every i that has so many bytes."""
     n = len(raw) - gram + 1
-    return mix64((run[gram:] - run[:n]) * powers(ODD_INVERSE, n)) if n > 0 else run[:0]
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eight, out = eights(raw), np.full(n, np.uint64(gram))
+    for k in [*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
+        out ^= eight[k : k + n]
+        out *= GOLD
+        out ^= out >> np.uint64(32)
+    return mix64(out)
 
 
 def chosen(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

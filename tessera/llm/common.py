@@ -98,34 +98,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-ODD, ODD_INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        out = np.full(size, np.uint64(base & (1 << 64) - 1))
-        out[0] = 1
-        _powers[base] = known = np.multiply.accumulate(out)
-    return known[:n]
-
-
-def byte_sums(raw: np.ndarray) -> np.ndarray:
-    """Running sums s of byte value times ODD ** place: (s[e] - s[b]) * ODD ** -b is the hash of bytes b..e."""
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE[raw] * powers(ODD, len(raw)), out=out[1:])
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, for a few terms."""
+    return np.array([pow(base, k, 1 << 64) for k in range(n)], np.uint64)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """raw[i : i + 8] as one number for every i, the end included; zeros follow the last byte."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def _further(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of more than 8 bytes; and of each lane of theirs after the first its span, its place in the span, its bytes' place."""
+    long = np.flatnonzero(end - begin > 8)
+    n = (end[long] - begin[long] - 1) >> 3
+    which = np.repeat(np.arange(len(long)), n)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + 1
+    return long, which, k, begin[long][which] + 8 * k
+
+
+def span_hash(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each raw[b:e].
+
+    Lanes of 8 bytes are mixed with their place in the span and added up. Each lane goes through the finaliser first, so
+    that no structure of a text (as in Thue-Morse words, on which sums of powers modulo 2 ** 64 agree) cancels out.
+    """
+    eight, n = eights(raw), end - begin
+    out = mix64((eight[begin] & KEEP[np.minimum(n, 8)]) + GOLD)
+    long, which, k, at = _further(begin, end)
+    if len(long):
+        lanes = mix64((eight[at] & KEEP[np.minimum(end[long][which] - at, 8)]) + mix64(k.astype(np.uint64) * GOLD))
+        out[long] += np.add.reduceat(lanes, np.flatnonzero(k == 1))
+    return mix64(out ^ n.astype(np.uint64) * GOLD)
+
+
+def unlike(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Whether each span differs in any byte from the span with the number `same` says."""
+    eight, n = eights(raw), end - begin
+    keep = KEEP[np.minimum(n, 8)]
+    out = (n != n[same]) | ((eight[begin] ^ eight[begin[same]]) & keep != 0)
+    alike = np.flatnonzero((n > 8) & ~out & (same != np.arange(len(n))))
+    long, which, k, at = _further(begin[alike], end[alike])
+    if len(long):
+        own = alike[long][which]
+        bad = (eight[at] ^ eight[begin[same[own]] + 8 * k]) & KEEP[np.minimum(end[own] - at, 8)] != 0
+        out[own[bad]] = True
     return out
 
 
-def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inverse = powers(ODD_INVERSE, len(sums))
-    return mix64((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-
-
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -148,7 +172,7 @@ def words_of(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.n
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word, and its text's number."""
     b, e, doc = words_of(raw, at)
-    return span_hash(byte_sums(raw), b, e), doc
+    return span_hash(raw, b, e), doc
 
 
 def window_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

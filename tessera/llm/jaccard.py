@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import LOWER, byte_sums, chunks, mix64, powers, span_hash, two, utf8, words_of, window_hashes, written
+from tessera.llm.common import LOWER, chunks, mix64, powers, span_hash, two, utf8, words_of, window_hashes, written
 from tessera.llm.components import components
 from tessera.llm.postings import shared_hashes
 
@@ -43,7 +43,7 @@ def shingle_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     raw = LOWER[raw]
     n = len(at) - 1
     b, e, doc = words_of(raw, at)
-    h = span_hash(byte_sums(raw), b, e)
+    h = span_hash(raw, b, e)
     s, owner = window_hashes(h, doc, WORDS)
     count = np.bincount(doc, minlength=n)
     short = (count > 0) & (count < WORDS)

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, byte_sums, chunks, span_hash, two, utf8, words_of, written
+from tessera.llm.common import LOWER, chunks, span_hash, two, unlike, utf8, words_of, written
 
 CAPACITY, GROUPS, SMALL, SEPARATOR = 2048, 400, 682, 0
 
 class WordTokenizer:
-    """A tokenizer with the ids of the runs of its texts kept by hash.
+    """A tokenizer with the ids of the runs of its texts kept by the runs' bytes.
 
     It never joins over white space or where an ASCII letter meets an ASCII sign, as its own pattern parts letters
     from signs (save the apostrophe, which begins contractions), and it lower-cases; so a text is the sequence of such
@@ -48,33 +48,33 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.runs: dict[int, int] = {}  # hash -> place in the pool << 31 | number of ids, as a text has less than 2^31 bytes
+        self.runs: dict[bytes, int] = {}  # run -> place in the pool << 31 | number of ids, as a text has less than 2^31 bytes
         self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
 
-    def _add(self, hashes: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+    def _add(self, runs: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), len(self.pool)), "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
         begins = np.concatenate([[0], ends[:-1]])
-        self.runs.update(zip(hashes, (self.used + begins << 31 | ends - begins).tolist()))
+        self.runs.update(zip(runs, (self.used + begins << 31 | ends - begins).tolist()))
         self.used += len(ids)
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, runs: list[bytes]) -> None:
         """Letters are encoded as one text and cut at the ids that end a word, all else by itself."""
         letters, other = [], []
-        for x in zip(hashes, texts):
-            (letters if x[1].isalpha() else other).append(x)
+        for run in runs:
+            (letters if run.decode().isalpha() else other).append(run)
         for b in range(0, len(letters), 2000):
             some = letters[b : b + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
-                self._add([h for h, _ in some], ids, ends)
+                self._add(some, ids, ends)
             else:
                 other += some
         if other:
-            each = [e.ids for e in self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False)]
-            self._add([h for h, _ in other], np.array([i for ids in each for i in ids], "<u4"), np.cumsum([len(ids) for ids in each]))
+            each = [e.ids for e in self.tokenizer.encode_batch([x.decode() for x in other], add_special_tokens=False)]
+            self._add(other, np.array([i for ids in each for i in ids], "<u4"), np.cumsum([len(ids) for ids in each]))
 
     def __call__(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin."""
@@ -86,14 +86,15 @@ class WordTokenizer:
         meet = np.flatnonzero((kind[1:] ^ kind[:-1]) == 3) + 1  # a letter beside a sign
         meet = meet[~np.isin(meet, at)]
         b, e = np.sort(np.concatenate([b, meet])), np.sort(np.concatenate([e, meet]))
-        hashes, first, which = np.unique(span_hash(byte_sums(raw), b, e), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        found = np.array([self.runs.get(h, -1) for h in keys], np.int64)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            data = raw.tobytes()
-            self._learn([keys[i] for i in new.tolist()], [data[x:y].decode() for x, y in zip(b[first[new]].tolist(), e[first[new]].tolist())])
-            found[new] = [self.runs[keys[i]] for i in new.tolist()]
+        _, first, which = np.unique(span_hash(raw, b, e), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(unlike(raw, b, e, first[which]))  # other bytes with a run's hash: a run each
+        which[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
+        data = raw.tobytes()
+        runs = [data[x:y] for x, y in zip(b[first].tolist(), e[first].tolist())]
+        if new := {x for x in runs if x not in self.runs}:
+            self._learn(sorted(new))
+        found = np.array([self.runs[x] for x in runs], np.int64)
         found = found[which]
         n = found & (1 << 31) - 1
         ends = np.cumsum(n)

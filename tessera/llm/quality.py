@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, chunks, fold_of, mix64, powers, two, utf8, words_of, byte_sums, span_hash
+from tessera.llm.common import SPACE, chunks, fold_of, mix64, powers, span_hash, two, utf8, words_of
 from tessera.llm.gbt import Forest, fit
 
 SAMPLE = 12000
@@ -75,8 +75,7 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray],
     """The base counts and the feature matrix of the texts."""
     n = len(at) - 1
     b, e, doc = words_of(raw, at)
-    run = byte_sums(raw)
-    h = span_hash(run, b, e)
+    h = span_hash(raw, b, e)
     first = np.searchsorted(doc, np.arange(n + 1))
     leads = np.concatenate([[0], np.cumsum(LEADS[raw])])
     chars = leads[e] - leads[b]
@@ -93,7 +92,7 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray],
     solid = np.concatenate([[0], np.cumsum(~SPACE[raw])])
     has_word = solid[ends] > solid[starts]
     lines = np.bincount(owner, has_word, n).astype(np.int64)
-    lh = span_hash(run, starts, ends)[has_word]
+    lh = span_hash(raw, starts[has_word], ends[has_word])
     lo = owner[has_word]
     order = np.lexsort((lh, lo))
     same = (lh[order][1:] == lh[order][:-1]) & (lo[order][1:] == lo[order][:-1])

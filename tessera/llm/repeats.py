@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.anchors import GRAM, WINDOW, chosen, gram_hashes
-from tessera.llm.common import byte_sums, chunks, discard, partitions, span_hash, utf8, written
+from tessera.llm.anchors import WINDOW, chosen
+from tessera.llm.common import chunks, discard, partitions, span_hash, utf8, written
 from tessera.llm.postings import MASK, OTHER, PAST, TO_BUCKET, bucket_of, rows, shared_hashes, six, unsix
 from tessera.llm.suffixes import equal_prefixes, suffix_array
 
@@ -108,7 +108,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int)
         begin = first[which] + step
         size = np.where(is_hot[which], WINDOW, last[which] - begin + WINDOW)
         doc = doc[which]
-        content = span_hash(byte_sums(raw), begin, begin + size)
+        content = span_hash(raw, begin, begin + size)
         key = np.where(is_hot[which], content & MASK, h[which])
         order, group, least = _leaders(key, content, own[doc])
         later = own[doc[order]] > least[group]
@@ -175,7 +175,7 @@ def _sort(table: pa.Table, buckets: int) -> pa.Table:
     if parts:
         key, own, cls, start, size, raw = (np.concatenate([p[k] for p in parts]) for k in range(6))
         place = np.cumsum(size) - size
-        content = span_hash(byte_sums(raw), place, place + size)
+        content = span_hash(raw, place, place + size)
         order, group, least = _leaders(key, content, own)
         head = order[np.flatnonzero(np.diff(group, prepend=-1))]  # one context of each content
         hk = key[head]

@@ -16,10 +16,20 @@ def awkward():
         "x y  ź naïve ßİ", "l1 a\nl1 a\n\nl2\nl1 a\n", "\n", "e\n", "e\ne",
         "rep " * 40, "z" * 3000, " ".join(f"w{i % 7}" for i in range(30000)), "Under the MIT License. cc by-nc; apache license, version 2",
         "you stupid idiot , scum and tr4sh", 'he said "idiot" once', "\x00nul \x0b vt", base[:200], "a<|endoftext|>b <|ENDOFTEXT|> don't DON'T x's a.b'c (é) é. ...ab12cd,3.5 e\u0301x \u201cq\u201d.", "passage " + base[100:260] + " other",
+        *alike(), f"{alike()[0]}\n{alike()[1]}\n{alike()[0]}", "\N{GRINNING FACE} " * 10 + "under the mit license",
+        f"{base} {alike()[0]}", f"{base} {alike()[1]}",
     ]
     return [(i * 3 + 1, t, None if i % 5 == 0 else "en", None if i % 6 == 0 else f"s{i % 3}", None if i % 4 == 0 else len(t or "")) for i, t in enumerate(texts)]
 
 
+def alike(n=1024):
+    """Two words of n letters (a power of 2) with the structure on which sums of powers modulo 2 ** 64 agree."""
+    word, other = "a", "b"
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
 def fixture(spark, rows=None):
     """documents with extra columns whose names clash with those that operators make."""
     from pyspark.sql import functions as F

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tests.llm.brute import awkward, fixture
+from tests.llm.brute import alike, awkward, fixture
 from tessera.llm import packing
 from tessera.llm.common import table
 
@@ -61,6 +61,19 @@ def test_runs_of_many_ids(spark):
     verify(packing.pack_documents(fixture(spark, rows).coalesce(1), PATH).collect(), [(i, t) for i, t, *_ in rows], 0.2)
 
 
+def test_runs_whose_hashes_agree(spark, monkeypatch):
+    """Runs are told apart by their bytes, whatever the hash says."""
+    monkeypatch.setattr(packing, "span_hash", lambda raw, b, e: (e - b).astype(np.uint64) & np.uint64(3))
+    texts = [*alike(), " ".join(alike()), "to be or not to be, that is the question", "a ab abc abcd abce abcdefghijk abcdefghijl abcdefghijk", ""]
+    tokenizer = packing.WordTokenizer(PATH)
+    plain = Tokenizer.from_file(PATH)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for _ in range(2):
+        ids, place = tokenizer(raw, at)
+        assert [ids[b:e].tolist() for b, e in zip(place, place[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 400), max_size=40))
 def test_plans_hold_every_piece_once(histogram):
