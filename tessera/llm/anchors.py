@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from tessera.llm.common import GOLD, eights, mix64
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM, SEGMENT = 50, 20, 1 << 20
 
 
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -51,3 +53,12 @@ def chosen(raw: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = GR
     starts = np.flatnonzero(valid & np.concatenate([[True], (place[1:] != place[:-1]) | ~valid[:-1]]))
     ends = np.flatnonzero(valid & np.concatenate([(place[1:] != place[:-1]) | ~valid[1:], [True]]))
     return place[starts], h[place[starts]], starts, ends
+
+
+def runs_of(raw: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """chosen() over `segment` windows at a time; at most a run that goes over such a border comes in two."""
+    for low in range(0, max(1, len(raw) - WINDOW + 1), segment):
+        high = min(len(raw), low + segment + WINDOW - 1)
+        first, after = np.searchsorted(at, low, "right") - 1, np.searchsorted(at, high)
+        place, h, start, end = chosen(raw[low:high], np.clip(at[first : after + 1], low, high) - low)
+        yield place + low, h, start + low, end + low

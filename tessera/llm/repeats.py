@@ -4,14 +4,16 @@
 2. Winnowed anchors (see anchors): equal strings choose equal anchors, so only windows whose anchor two classes share
    can be repeated. Packed postings find the shared anchors.
 3. The bytes around shared anchors meet by anchor (windows of very frequent anchors by their own bytes, which splits hot
-   groups); equal contexts are one. Each batch of contexts is sorted by the difference-cover algorithm: sampled triples
-   sorted and named, names sorted recursively, the remaining suffixes merged; then adjacent suffixes' first 50 bytes are
-   compared, and the smallest doc_id of an equal run marks the others.
+   groups); equal contexts are one, and those of one document travel as one with the progressions (start, stride, number)
+   of their places. Each batch of contexts is sorted by the difference-cover algorithm: sampled triples sorted and named,
+   names sorted recursively, the remaining suffixes merged; then adjacent suffixes' first 50 bytes are compared, and the
+   smallest doc_id of an equal run marks the others.
 4. Marks meet by class, and the text is cut.
 Contract of `removed_spans` and `without_repeats`: one row per input row; null and empty texts are 0 bytes with nothing
 removed; copies (ties) keep the one with the smallest doc_id, and rows of that very doc_id all stay; a null doc_id is
-after all others; an empty table gives no rows; other columns are dropped (without_repeats keeps lang and source).
-Classes are named by 64-bit hashes of texts.
+after all others, and rows with a null doc_id cut nothing from each other; an empty table gives no rows; other columns are
+dropped (without_repeats keeps lang and source). Very long texts are read in pieces of `SEGMENT` windows; memory goes
+with their length, not with how often they repeat themselves. Classes are named by 64-bit hashes of texts.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.anchors import WINDOW, chosen
+from tessera.llm.anchors import WINDOW, runs_of
 from tessera.llm.common import chunks, discard, partitions, span_hash, utf8, written
 from tessera.llm.postings import MASK, OTHER, PAST, TO_BUCKET, bucket_of, rows, shared_hashes, six, unsix
 from tessera.llm.suffixes import equal_prefixes, suffix_array
@@ -37,34 +39,69 @@ LAST = (1 << 63) - 1
 
 def _anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, at = utf8(batch.column("text"))
-    _, h, start, _ = chosen(raw, at)
-    doc = np.searchsorted(at, start, "right") - 1
-    h = h & MASK
+    docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for _, h, start, _ in runs_of(raw, at):
+        doc, h = _distinct(np.searchsorted(at, start, "right") - 1, h & MASK)
+        docs.append(doc)
+        hashes.append(h)
+    doc, h = _distinct(np.concatenate(docs), np.concatenate(hashes))
+    return batch.column("class").to_numpy().view(np.uint64), np.bincount(doc, minlength=batch.num_rows), h
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return batch.column("class").to_numpy().view(np.uint64), np.bincount(doc[new], minlength=batch.num_rows), h[new]
+    return doc[new], h[new]
+
+
+def progressions(group: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of group and start, cut into runs of one group and one stride: the runs' first rows, strides, numbers."""
+    gap = np.diff(start, prepend=0)
+    first = np.ones(len(start), bool)
+    first[1:] = group[1:] != group[:-1]
+    turn = np.ones(len(start), bool)
+    turn[1:] = (gap[1:] != gap[:-1]) & ~first[:-1]  # the second row of a group only sets the stride
+    heads = np.flatnonzero(first | turn)
+    number = np.diff(np.append(heads, len(start)))
+    return heads, np.where(number > 1, gap[np.minimum(heads + 1, len(start) - 1)], 0), number
+
 
+FIELDS = (("key", 6, None), ("own", 8, "<i8"), ("class", 8, "<u8"), ("size", 4, "<u4"), ("runs", 4, "<u4"))
 
-def _pack_contexts(key: np.ndarray, own: np.ndarray, cls: np.ndarray, start: np.ndarray, size: np.ndarray, data: bytes) -> bytes:
-    return np.uint32(len(key)).tobytes() + six(key) + own.astype("<i8").tobytes() + cls.astype("<u8").tobytes() + start.astype("<u4").tobytes() + size.astype("<u4").tobytes() + data
+
+def _pack_contexts(key: np.ndarray, own: np.ndarray, cls: np.ndarray, size: np.ndarray, runs: np.ndarray, places: np.ndarray, data: bytes) -> bytes:
+    """places: rows (start, stride, number), `runs` of them for each context."""
+    return np.uint32(len(key)).tobytes() + six(key) + own.astype("<i8").tobytes() + cls.astype("<u8").tobytes() + size.astype("<u4").tobytes() + runs.astype("<u4").tobytes() + places.astype("<u4").tobytes() + data
 
 
 def _unpack_contexts(data: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     n, at, out = int(raw[:4].view("<u4")[0]), 4, []
-    for width, kind in ((6, None), (8, "<i8"), (8, "<u8"), (4, "<u4"), (4, "<u4")):
+    for _, width, kind in FIELDS:
         part = raw[at : at + width * n]
         out.append(unsix(part) if kind is None else part.view(kind).astype(np.int64 if kind != "<u8" else np.uint64))
         at += width * n
-    return [*out, raw[at:]]
+    end = at + 12 * int(out[-1].sum())
+    return [*out, raw[at:end].view("<u4").reshape(-1, 3).astype(np.int64), raw[end:]]
 
 
 def _pack_marks(cls: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
     return cls.astype("<u8").tobytes() + start.astype("<u4").tobytes() + n.astype("<u4").tobytes()
 
 
+def _spread(cls: np.ndarray, places: np.ndarray, shift: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of n windows from `shift` on at all of each row's places: one where they cover the bytes between, else one each."""
+    start, stride, number = places[:, 0] + shift, places[:, 1], places[:, 2]
+    whole = stride < n + WINDOW
+    n = np.where(whole, n + stride * (number - 1), n)
+    times = np.where(whole, 1, number)
+    which = np.repeat(np.arange(len(n)), times)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    return cls[which], start[which] + step * stride[which], n[which]
+
+
 def _by_bucket(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(to, kind="stable")
     cut = np.flatnonzero(np.diff(to[order], prepend=to[order][:1] - 1)) if len(to) else []
@@ -90,39 +127,62 @@ def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int)
     for batch in chunks(batches, 1 << 18):
         raw, at = utf8(batch.column("text"))
         own, cls = batch.column("own").to_numpy(), batch.column("class").to_numpy().view(np.uint64)
-        _, h, first, last = chosen(raw, at)
-        h = h & MASK
-        doc = np.searchsorted(at, first, "right") - 1
         shared = [np.frombuffer(x, "<u8") for x in batch.column("hashes").to_pylist()]
         # (document, hash) pairs as rows of a set: both lists are sorted by document.
-        sdoc, sh = np.repeat(np.arange(len(shared)), [len(x) for x in shared]), np.concatenate(shared) if shared else h[:0]
+        sdoc, sh = np.repeat(np.arange(len(shared)), [len(x) for x in shared]), np.concatenate(shared) if shared else np.zeros(0, np.uint64)
         known = np.sort(span_pairs(sdoc, sh))
-        mine = span_pairs(doc, h)
-        at_known = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
-        ok = known[at_known] == mine if len(known) else np.zeros(len(mine), bool)
-        h, first, last, doc = h[ok], first[ok], last[ok], doc[ok]
-        is_hot = np.isin(h, hot)
-        n = np.where(is_hot, last - first + 1, 1)
-        which = np.repeat(np.arange(len(h)), n)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        begin = first[which] + step
-        size = np.where(is_hot[which], WINDOW, last[which] - begin + WINDOW)
-        doc = doc[which]
-        content = span_hash(raw, begin, begin + size)
-        key = np.where(is_hot[which], content & MASK, h[which])
-        order, group, least = _leaders(key, content, own[doc])
-        later = own[doc[order]] > least[group]
-        gone, i = order[later], order[~later]
-        lost += _marks(cls[doc[gone]], begin[gone] - at[doc[gone]], size[gone] - WINDOW + 1, buckets)
-        held.append([key[i], content[i], own[doc[i]], cls[doc[i]], begin[i] - at[doc[i]], size[i], gather(raw, begin[i], size[i])])
-        total += int(size[i].sum()) + 48 * len(i) + 16 * len(gone)
-        if total > 12_000_000:
-            yield rows(lost + _send(held, buckets))
-            held, lost, total = [], [], 0
+        for _, h, first, last in runs_of(raw, at):
+            h = h & MASK
+            doc = np.searchsorted(at, first, "right") - 1
+            mine = span_pairs(doc, h)
+            at_known = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
+            ok = known[at_known] == mine if len(known) else np.zeros(len(mine), bool)
+            h, first, last, doc = h[ok], first[ok], last[ok], doc[ok]
+            is_hot = np.isin(h, hot)
+            n = np.where(is_hot, last - first + 1, 1)
+            which = np.repeat(np.arange(len(h)), n)
+            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            begin = first[which] + step
+            size = np.where(is_hot[which], WINDOW, last[which] - begin + WINDOW)
+            doc = doc[which]
+            content = span_hash(raw, begin, begin + size)
+            key = np.where(is_hot[which], content & MASK, h[which])
+            # Equal contexts of a document are one; of those of several documents the first one's is sent, the others are marked here.
+            start = begin - at[doc]
+            order = np.lexsort((start, cls[doc], own[doc], content, key))
+            k, c, d = key[order], content[order], doc[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (cls[d[1:]] != cls[d[:-1]])
+            group = np.cumsum(new) - 1
+            heads, stride, number = progressions(group, start[order])
+            places = np.stack([start[order][heads], stride, number], axis=1)
+            runs = np.bincount(group[heads], minlength=int(new.sum()))
+            i = order[new]
+            parts = [key[i], content[i], own[doc[i]], cls[doc[i]], size[i], runs, places, gather(raw, begin[i], size[i])]
+            parts, gone = _first_owners(parts)
+            lost += _marks(*gone, buckets)
+            held.append(parts)
+            total += len(parts[7]) + 50 * len(parts[0]) + 12 * len(parts[6]) + 16 * len(gone[0])
+            if total > 12_000_000:
+                yield rows(lost + _send(held, buckets))
+                held, lost, total = [], [], 0
     if held:
         yield rows(lost + _send(held, buckets))
 
 
+def _first_owners(parts: list[np.ndarray]) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The contexts that no equal one of an earlier document is among, and the marks of the others."""
+    key, content, own, cls, size, runs, places, data = parts
+    order, group, least = _leaders(key, content, own)
+    later = np.zeros(len(key), bool)
+    later[order] = own[order] > least[group]
+    row = np.repeat(np.arange(len(key)), runs)
+    out = later[row]
+    gone = _spread(cls[row[out]], places[out], np.zeros(int(out.sum()), np.int64), size[row[out]] - WINDOW + 1)
+    place, left = np.cumsum(size) - size, ~later
+    return [key[left], content[left], own[left], cls[left], size[left], runs[left], places[~out], gather(data, place[left], size[left])], gone
+
+
 def span_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One number for each (text number below 2 ** 16, 48-bit hash)."""
     return a.astype(np.uint64) << np.uint64(48) | b
@@ -138,16 +198,11 @@ def _leaders(key: np.ndarray, content: np.ndarray, own: np.ndarray) -> tuple[np.
 
 
 def _send(held: list[list[np.ndarray]], buckets: int) -> list[tuple[int, int, bytes]]:
-    key, content, own, cls, start, size, data = (np.concatenate([x[k] for x in held]) for k in range(7))
-    place = np.cumsum(size) - size
-    order, group, least = _leaders(key, content, own)
-    later = own[order] > least[group]
-    lost = order[later]
-    out = _marks(cls[lost], start[lost], size[lost] - WINDOW + 1, buckets)
-    left = order[~later]
-    for b, i in _by_bucket(bucket_of(key[left], buckets).astype(np.int64)):
-        i = left[i]
-        out.append((b, TO_BUCKET, _pack_contexts(key[i], own[i], cls[i], start[i], size[i], gather(data, place[i], size[i]).tobytes())))
+    (key, _, own, cls, size, runs, places, data), gone = _first_owners([np.concatenate([x[k] for x in held]) for k in range(8)])
+    out = _marks(*gone, buckets)
+    place, at = np.cumsum(size) - size, np.cumsum(runs) - runs
+    for b, i in _by_bucket(bucket_of(key, buckets).astype(np.int64)):
+        out.append((b, TO_BUCKET, _pack_contexts(key[i], own[i], cls[i], size[i], runs[i], gather(places, at[i], runs[i]), gather(data, place[i], size[i]).tobytes())))
     return out
 
 
@@ -173,8 +228,14 @@ def _sort(table: pa.Table, buckets: int) -> pa.Table:
     out = [(b, PAST, x) for b, k, x in zip(table.column("bucket").to_pylist(), kinds, data) if k == PAST]
     parts = [_unpack_contexts(x) for k, x in zip(kinds, data) if k == TO_BUCKET]
     if parts:
-        key, own, cls, start, size, raw = (np.concatenate([p[k] for p in parts]) for k in range(6))
-        place = np.cumsum(size) - size
+        key, own, cls, size, runs, places, raw = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        del parts
+        place, at = np.cumsum(size) - size, np.cumsum(runs) - runs
+
+        def mark(i: np.ndarray, shift: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bytes]]:
+            """Marks of n windows from `shift` on in the contexts i, at all their places."""
+            return _marks(*_spread(np.repeat(cls[i], runs[i]), gather(places, at[i], runs[i]), np.repeat(shift, runs[i]), np.repeat(n, runs[i])), buckets)
+
         content = span_hash(raw, place, place + size)
         order, group, least = _leaders(key, content, own)
         head = order[np.flatnonzero(np.diff(group, prepend=-1))]  # one context of each content
@@ -207,7 +268,7 @@ def _sort(table: pa.Table, buckets: int) -> pa.Table:
         simple = where[row_group] < 0
         gone = simple & (own[order] > least[row_group])
         lost = order[gone]
-        out += _marks(cls[lost], start[lost], n[gone], buckets)
+        out += mark(lost, np.zeros(len(lost), np.int64), n[gone])
         hard = np.flatnonzero(~simple)
         if len(hard):
             m = n[hard]
@@ -219,8 +280,7 @@ def _sort(table: pa.Table, buckets: int) -> pa.Table:
                 new = np.ones(len(which), bool)
                 new[1:] = (which[1:] != which[:-1]) | (step[1:] != step[:-1] + 1)
                 head_at = np.flatnonzero(new)
-                rows_at = order[which[head_at]]
-                out += _marks(cls[rows_at], start[rows_at] + step[head_at], np.diff(np.append(head_at, len(which))), buckets)
+                out += mark(order[which[head_at]], step[head_at], np.diff(np.append(head_at, len(which))))
     return pa.Table.from_batches([rows(out)])
 
 
@@ -255,7 +315,17 @@ def _kept(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
     step = np.zeros(len(raw) + 1, np.int8)
     step[begin] += 1
     step[end] -= 1
-    return raw[np.cumsum(step[:-1]) == 0].tobytes()
+    return raw[np.cumsum(step[:-1], dtype=np.int8) == 0].tobytes()
+
+
+def _to_characters(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts widened to whole characters of UTF-8."""
+    inner = np.append(raw & 0xC0 == 0x80, False)  # bytes that go on with a character
+    begin, end = begin.copy(), end.copy()
+    for _ in range(3):
+        begin -= inner[begin]
+        end += inner[end]
+    return begin, end
 
 
 def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -264,8 +334,9 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
         found = []
         for i, marks in enumerate(batch.column("marks").to_pylist()):
             b, e = spans(marks)
-            kept = _kept(raw[at[i] : at[i + 1]], b, e)
-            found.append((int((e - b).sum()), len(b), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if texts else None))
+            own = raw[at[i] : at[i + 1]]
+            text = _kept(own, *_to_characters(own, b, e)).decode() if texts else None
+            found.append((int((e - b).sum()), len(b), hashlib.sha256(_kept(own, b, e)).hexdigest(), text))
         yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.string()), pa.array([x[3] for x in found], pa.string())], ["class", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
@@ -310,15 +381,13 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with the repeated spans cut out; those of which nothing is left go. doc_id is unique in docs, or null."""
-    info, verdicts = _verdicts(docs, True)
-    copy = (F.col("doc_id") > F.col("own")) & (F.col("n_bytes") >= WINDOW)
-    new = info.where(F.col("doc_id") < LAST).join(verdicts, "class").select("doc_id", F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text"))
-    # Rows without a doc_id find their verdict by their text's class; one that a document with a doc_id has too is a copy.
-    nameless = docs.where(F.col("doc_id").cast("long").isNull()).withColumn("class", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    again = (F.col("own") < LAST) & (F.octet_length(F.coalesce("text", F.lit(""))) >= WINDOW)
-    nameless = nameless.join(verdicts, "class").withColumn("kept_text", F.when(again, "").otherwise(F.col("kept_text")))
-    columns = ["doc_id", "text", "lang", "source", "kept_text"]
-    text = F.coalesce("kept_text", "text")
-    found = docs.join(new, "doc_id").select(columns).unionByName(nameless.select(columns))
-    return found.where((text != "") | (F.coalesce("text", F.lit("")) == "")).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    """The documents with the repeated spans cut out, widened to whole characters; those of which nothing is left go.
+
+    Rows find their verdict by their text's class, so that repeated rows and rows without a doc_id get theirs each once.
+    """
+    _, verdicts = _verdicts(docs, True)
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), "lang", "source", F.xxhash64(text).alias("class"), docs["text"].isNull().alias("missing")).join(verdicts, "class")
+    copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("own")) & (F.octet_length("text") >= WINDOW)
+    d = d.select("doc_id", "lang", "source", (F.col("text") == "").alias("blank"), F.when(copy, "").otherwise(F.coalesce("kept_text", "text")).alias("text"), "missing")
+    return d.where("text <> '' or blank").select("doc_id", F.when(~F.col("missing"), F.col("text")).alias("text"), "lang", "source", F.length("text").cast("long").alias("n_chars"))

@@ -43,6 +43,16 @@ def test_suffix_array(t):
     assert suffix_array(np.array(t, np.int64)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1), min_size=1, max_size=5))
+def test_progressions(groups):
+    rows = [(g, x) for g, some in enumerate(groups) for x in sorted(some)]
+    group, start = (np.array(c, np.int64) for c in zip(*rows))
+    heads, stride, number = repeats.progressions(group, start)
+    assert [(int(group[h]), int(start[h] + k * d)) for h, d, n in zip(heads, stride, number) for k in range(n)] == rows
+    assert repeats.progressions(np.zeros(1000, np.int64), np.arange(1000) * 7)[2].tolist() == [1000]
+
+
 def test_equal_windows_choose_equal_anchors():
     rng = random.Random(3)
     parts = ["".join(rng.choice("ab c") for _ in range(70)) for _ in range(4)]
@@ -87,6 +97,55 @@ def test_awkward_rows(spark):
     assert repeats.removed_spans(twice).count() == len(rows) + 1
 
 
+def test_pieces_of_long_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abc d") for _ in range(90)) for _ in range(5)]
+    texts = ["".join(rng.choice(some) for _ in range(40)) for _ in range(12)] + ["z" * 900, "z" * 300, "ab" * 500, "x" + "ab" * 300, "line of a log\n" * 90, "e" + "line of a log\n" * 70, "", "zé" * 400]
+    docs = list(enumerate(texts))
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    whole = {(p, s) for p, _, a, b in zip(*anchors.chosen(raw, at)) for s in range(a, b + 1)}
+    for segment in (1, 64, 1000):
+        cut = [(p, s) for x in anchors.runs_of(raw, at, segment) for p, _, a, b in zip(*x) for s in range(a, b + 1)]
+        assert len(cut) == len(whole) and set(cut) == whole
+    wait = repeats.runs_of
+    monkeypatch.setattr(repeats, "runs_of", lambda raw, at: wait(raw, at, 700))
+    same(by_id(repeats.removed_spans(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2))), docs)
+
+
+def test_memory_of_texts_that_repeat_themselves():
+    """20 MB of one letter, and of one line: all steps on the workers stay small."""
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert all(int(x) < 1500 for x in said.stdout.split()), said.stdout
+
+
+LONG = """
+import resource
+from unittest import mock
+import numpy as np
+import pyarrow as pa
+from tessera.llm import postings, repeats
+for text in ("z" * 20_000_000, ("a line of a log, told again and again, with 60 letters.....\\n" * 340_000)[:20_000_000]):
+    batch = lambda t, k: pa.record_batch({"class": pa.array([k]), "own": pa.array([k]), "text": pa.array([t])})
+    both = [batch(text[:400], 1), batch(text, 2)]
+    shared = set(repeats._anchors(both[0])[2].tolist()) & set(repeats._anchors(both[1])[2].tolist())
+    hashes = pa.array([np.sort(np.array(list(shared), np.uint64)).tobytes()])
+    sent = [x for b in both for x in repeats._contexts(iter([b.append_column("hashes", hashes)]), np.zeros(0, np.uint64), 1)]
+    marks = repeats._sort(pa.Table.from_batches(sent), 1)
+    found = repeats._gathered(marks)
+    marked = dict(zip(found["class"].to_pylist(), found["marks"].to_pylist()))
+    assert set(marked) == {2}
+    begin, end = repeats.spans(marked[2])
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert (end - begin).sum() == len(raw) and repeats._kept(raw, begin, end) == b""
+    print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
 def test_cut_documents(spark):
     rows = awkward()
     want = brute([(i, t) for i, t, *_ in rows])
@@ -98,6 +157,22 @@ def test_cut_documents(spark):
             assert got[i]["text"] == t
 
 
+def test_cuts_take_whole_characters(spark):
+    passage = "".join(f"w{i} " for i in range(30))
+    rows = [(1, f"é{passage}ü tail"), (2, f"ĩ{passage}û other end"), (3, f"ũ{passage}ùx")]
+    want = brute(rows)
+    got = by_id(repeats.without_repeats(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")))
+    assert got[2]["text"] == " other end" and got[3]["text"] == "x" and want[2][1] > len(passage)
+
+
+def test_repeated_rows_of_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, a), (1, b), (2, a + b), (3, "x"), (3, "x"), (None, None), (None, None)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in repeats.without_repeats(d).collect())
+    assert got == sorted([("1", a), ("1", a), ("1", b), ("3", "x"), ("3", "x"), ("None", "None"), ("None", "None")])
+
+
 def test_rows_without_doc_id_stay(spark):
     texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
     rows = [(5, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[0] + " and more words"), (None, "short"), (None, "")]
