@@ -1,26 +1,22 @@
-"""Shared pieces: table reading, byte-bounded Arrow chunks, vectorised word hashing, packed arrays, shared folders."""
+"""Shared pieces: row names, byte-bounded Arrow chunks, vectorised word hashing."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import discard, partitions, table, written  # noqa: F401  for the operators here
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CHUNK_BYTES = 1 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def two(docs: DataFrame) -> DataFrame:
@@ -28,37 +24,14 @@ def two(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; the default is for local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of Parquet in the shared folder: computed once, survives lost executors, cuts the lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # the shuffles behind a written table are of no more use
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, was) if was is not None else spark.conf.unset(CLEANUP)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*written_: DataFrame) -> None:
-    """Deletes written tables that no later step reads."""
-    for df in written_:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with __file and __row, which together name a row in every read: what is no plain scan of Parquet is written first."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.toString().lower():
+        docs = written(docs, name)
+    return docs.withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

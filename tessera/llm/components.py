@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import discard, written
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -18,8 +18,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         sent = e.join(labels.select(F.col("node").alias("u"), "label"), "u").select(F.col("v").alias("node"), "label")
         near = sent.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = written(near.join(far, "label", "left").select("node", F.least("label", "next").alias("label")), "components-labels")
+        old, labels = labels, written(near.join(far, "label", "left").select("node", F.least("label", "next").alias("label")), "components-labels")
+        discard(old)
         before, total = total, labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total == before:
             break
-    return labels.select("node", F.col("label").alias("component"))
+    discard(e)
+    out = labels.withColumnRenamed("label", "component")
+    out.written_to = labels.written_to
+    return out
