@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import LOWER, chunks, mix64, powers, span_hash, two, utf8, words_of, window_hashes, written
+from tessera.llm.common import LOWER, chunks, discard, mix64, numbered, powers, span_hash, two, utf8, words_of, window_hashes, written
 from tessera.llm.components import components
 from tessera.llm.postings import shared_hashes
 
@@ -69,7 +68,8 @@ def shingle_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         name, size, _ = shingle_sets(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(name.view(np.int64)), pa.array(size.astype(np.int64))], ["doc_id", "class", "n_shingles"])
+        keys = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(name.view(np.int64)), pa.array(size.astype(np.int64))], [*keys, "class", "n_shingles"])
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -165,10 +165,14 @@ def boundary_of(rows: list[tuple[int, float, float]]) -> int:
     return at
 
 
-def _verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, class, n_shingles); and of each class its component (its smallest class) and the component's smallest doc_id."""
-    d = two(docs)
-    members = written(d.mapInArrow(_members, "doc_id long, class long, n_shingles long"), "jaccard-members")
+def _verdicts(d: DataFrame, rows: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows without their texts, with class and n_shingles; and of each class its component (its smallest class) and the component's smallest doc_id.
+
+    rows: each row is a document, else classes with the same smallest doc_id are one.
+    """
+    kinds = "".join(f"{c} long, " for c in d.columns if c != "text")
+    members = written(d.mapInArrow(_members, f"{kinds}class long, n_shingles long"), "jaccard-members")
+    d = d.select("doc_id", "text")
     classes = members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     classes = written(classes, "jaccard-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -177,6 +181,7 @@ def _verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A partner of size s >= 0.8 n shares at least 4/9 (n + s) of the m, so m >= 0.8 n.
     sets = shared.join(classes, "class").withColumn("m", m).where("5 * m >= 4 * n").select(F.col("class").alias("own"), "n", "m", "hashes")
     sets = written(sets, "jaccard-sets")
+    discard(shared)
     counts = sets.mapInArrow(partial(_costs, hot=hot), "key long, level int, pairs double").groupBy("key", "level").agg(F.count("*").alias("c"), F.sum("pairs").alias("pairs"))
     lists = counts.groupBy("key").agg(F.sum("c").alias("all"), F.collect_list(F.struct("level", "c", "pairs")).alias("by"))
     costs = lists.select("all", F.explode("by").alias("x")).groupBy("x.level").agg(F.sum("x.pairs").alias("pairs"), F.sum(F.col("x.c") * (1 + F.least(F.col("all") - 1, F.lit(PIVOTS)))).alias("lists")).collect()
@@ -189,55 +194,51 @@ def _verdicts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("open"), "own", "n", "most")
     other = F.struct(F.xxhash64("own").alias("open"), "own", "n", "most")
     pivots = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(whole).alias("p"), F.min(other).alias("q")).where("c > 1")
-    pivots = pivots.select("key", F.explode(F.array("p", "q")).alias("p")).select("key", "p.own", "p.n", "p.most")
+    # Written, so that the join deals keys out by itself and a hot one can be split.
+    pivots = written(pivots.select("key", F.explode(F.array("p", "q")).alias("p")).select("key", "p.own", "p.n", "p.most"), "jaccard-pivots")
     first = keys.alias("x").join(pivots.alias("y"), "key").where(fits("x", "y") & (F.col("x.own") != F.col("y.own"))).select(*ordered("x", "y")).distinct()
     tested = written(_compared(first, sets), "jaccard-tested")
-    found = written(components(tested.where("ok"), "a", "b"), "jaccard-components")
+    discard(pivots)
+    found = components(tested.where("ok"), "a", "b")
     placed = keys.join(found.withColumnRenamed("node", "own"), "own", "left").withColumn("component", F.coalesce("component", "own"))
     placed = written(placed, "jaccard-placed")
+    discard(keys, found)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left = written(placed.join(mixed, "key"), "jaccard-left")
+    discard(placed)
     rest = left.alias("x").join(left.alias("y"), "key").where((F.col("x.component") < F.col("y.component")) & fits("x", "y")).select(*ordered("x", "y")).distinct()
     rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     late = written(_compared(rest, sets), "jaccard-late")
+    discard(left, sets)
     known = classes.where("least IS NOT NULL")
     twice = known.groupBy("least").agg(F.min("class").alias("a"), F.count("*").alias("c")).where("c > 1").select("least", "a")
     one = twice.join(known, "least").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b"))
-    edges = tested.where("ok").unionByName(late.where("ok")).select("a", "b").unionByName(one)
-    found = components(edges, "a", "b").withColumnRenamed("node", "class")
-    placed = written(classes.join(found, "class", "left"), "jaccard-verdicts")
+    edges = tested.where("ok").unionByName(late.where("ok")).select("a", "b")
+    found = components(edges if rows else edges.unionByName(one), "a", "b")
+    placed = written(classes.join(found.withColumnRenamed("node", "class"), "class", "left"), "jaccard-verdicts")
+    discard(tested, late, classes, found)
     low = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("low"))
     placed = placed.withColumn("component", F.coalesce("component", "class")).join(low, "component", "left")
     return members, placed.select("class", "component", F.coalesce("low", "least").alias("component_id"))
 
 
-def _near(members: DataFrame, verdicts: DataFrame) -> DataFrame:
-    nothing = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return members.where("n_shingles > 0").join(verdicts, "class").select("doc_id", "n_shingles", "component_id").unionByName(nothing)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id."""
-    return _near(*_verdicts(docs))
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        name, size, _ = shingle_sets(batch)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name.view(np.int64)), pa.array(size.astype(np.int64))], [*batch.schema.names, "__class", "__size"])
+    members, verdicts = _verdicts(two(docs), False)
+    nothing = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return members.where("n_shingles > 0").join(verdicts, "class").select("doc_id", "n_shingles", "component_id").unionByName(nothing)
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Of each group the document with the smallest doc_id, all columns; documents without words all stay. doc_id is unique in docs, or null.
+    """Of each group of linked rows the one with the smallest doc_id (null last), all columns; rows without words all stay.
 
-    Of a group without any doc_id one row stays.
+    Each row is a document of its own, told apart by its place in the files of docs: of repeated rows one stays, rows of
+    one doc_id with texts that aren't linked all stay, and a row without a doc_id stays where its group has no other.
     """
-    members, verdicts = _verdicts(docs)
-    verdicts = written(verdicts, "jaccard-kept")
-    keep = _near(members, verdicts).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["kept_id"], "left_semi")
-    schema = StructType([*docs.schema.fields, StructField("__class", LongType()), StructField("__size", LongType())])
-    nameless = docs.where(docs["doc_id"].cast("long").isNull()).mapInArrow(_named, schema)
-    alone = verdicts.where("component_id IS NULL AND class = component").select(F.col("class").alias("__class"))
-    alone = nameless.where("__size > 0").join(alone, "__class", "left_semi").dropDuplicates(["__class"])
-    return kept.unionByName(alone.unionByName(nameless.where("__size = 0")).select(docs.columns))
+    rows = numbered(docs, "jaccard-rows")
+    name = ["__file", "__row"]
+    members, verdicts = _verdicts(rows.select(rows["doc_id"].cast("long").alias("doc_id"), rows["text"].cast("string").alias("text"), *name), True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *name)).alias("x")
+    kept = members.where("n_shingles > 0").join(verdicts, "class").groupBy("component").agg(first).select("x.__file", "x.__row")
+    kept = kept.unionByName(members.where("n_shingles = 0").select(name))
+    return rows.join(kept, name, "left_semi").select(*docs.columns)

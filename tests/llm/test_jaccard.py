@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from tests.llm.brute import awkward, by_id, fixture
+from tests.llm.brute import alike, awkward, by_id, fixture
 from tessera.llm import jaccard
 from tessera.llm.common import table
 
@@ -113,3 +113,18 @@ def test_rows_without_doc_id(spark):
     others = [x for x in kept if x[1] and x[1].startswith(other)]
     assert len(others) == 1
     assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[1], others[0], *rows[7:]]))
+
+
+def test_repeated_rows_in_a_stage(spark):
+    words = [f"n{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(f"o{i}" for i in range(60))
+    rows = [(4, near), (4, near), (4, other), (3, near + " tail"), (9, other), (5, ""), (5, ""), (None, other)]
+    d = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard.without_near_duplicates(d).collect())
+    assert kept == sorted([(3, near + " tail"), (4, other), (5, ""), (5, "")])
+
+
+def test_words_of_structured_letters(spark):
+    base = " ".join(f"b{i}" for i in range(4))
+    docs = [(i, f"{base} {w}") for i, w in enumerate((*alike(), alike()[0]))]
+    same(by_id(jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))), docs)

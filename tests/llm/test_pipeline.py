@@ -37,3 +37,33 @@ def test_stages_against_plain_versions(spark, sf):
             at += length
         assert at <= 2048
     assert sum(r["piece"] == 0 for r in pieces) == seen[4].count()
+
+
+def test_rows_are_kept_apart(spark, sf):
+    """Rows without a doc_id and rows that share one: no stage loses or multiplies them."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (2, texts[0] + " tail"), (3, "short one"), (3, "other one"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    some = lambda d: sorted((str(r["doc_id"]), str(r["text"])) for r in d.collect())
+    assert some(stages["toxicity"](spark, docs, sf)) == sorted((str(i), t or "") for i, t in rows)
+    kept = written(stages["ngram_jaccard_join"](spark, docs, sf), "test-kept")
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (3, "short one"), (3, "other one"), (None, ""), (4, "")]
+    assert some(kept) == sorted((str(i), t) for i, t in want)
+    cut = written(stages["suffix_array_dedup"](spark, kept, sf), "test-cut")
+    assert some(cut) == some(kept)
+    mixed = stages["mixing_sources"](spark, cut, sf)
+    assert sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == round(1.5 * (4 * 30 + 4))
+    packed = stages["best_fit_packing"](spark, docs, sf).collect()
+    assert len(packed) == len(rows) and sorted(str(r["doc_id"]) for r in packed) == sorted(str(i) for i, _ in rows)
+
+
+def test_empty_table(spark, sf):
+    import corpus_pipeline
+
+    docs = table(spark, sf, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf), "test-empty")
+    assert docs.count() == 0
