@@ -2,13 +2,15 @@
 
 The lexicon joins a fixed seed list with terms that labelled documents teach: whole words and stems that mark toxic
 documents. A word is matched by running the automata of all terms at once over the trie of their letters, as a lazily
-built deterministic automaton, so that misspelled terms are caught within one edit (two for long terms). A hit in
-quotation marks or after a verb of reporting counts as quoted; other hits add up in windows of words. Trees with
-monotonic constraints turn the sums into a score. Words, never labels, lang, source or doc_id, are inputs of a score.
-Terms and trees learn from at most `SAMPLE` labelled rows with the smallest hashes of doc_id, fold 2 left out.
+built deterministic automaton, so that misspelled terms are caught within one edit (two for long terms). A hit between an
+opening quotation mark and its closing one, or after a verb of reporting, counts as quoted; other hits add up in windows of
+words. Trees with monotonic constraints turn the sums into a score. Words, never labels, lang, source or doc_id, are inputs
+of a score. At most `TERMS` terms are learned from at most `TERM_SAMPLE` labelled rows, the trees from at most `SAMPLE`
+(the former rows among them), those with the smallest hashes of doc_id, fold 2 left out.
 Contract of `score_documents`: one row per input row; null and empty texts get the score of a text without hits; ties
-and repeated rows repeat; without labels the seed list alone is known and the prior is the score; other columns are
-dropped. A null doc_id is scored like any other and is not held out.
+and repeated rows repeat; very long texts and words are read whole; without labels the seed list alone is known and the
+prior is the score; an empty table gives no rows; other columns are dropped. A null doc_id is scored like any other and is
+not held out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, chunks, fold_of, two
+from tessera.llm.common import WORD, chunks, fold_of, span_hash, two, utf8, words_of
 from tessera.llm.gbt import Forest, fit
 
 SAMPLE, TERM_SAMPLE, TERMS, THRESHOLD, WINDOW = 20000, 8000, 2000, 0.3, 25
@@ -32,7 +34,10 @@ REPORTING = frozenset(("said", "says", "quoted", "called", "wrote", "writes", "r
 ADDRESS = frozenset(("you", "your", "you're", "youre", "u", "du", "dich", "tu", "vous", "usted"))
 LEET = str.maketrans("013457@$", "oleastas")
 EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
-QUOTES = re.compile("^[\"'“«‘„(\\[]*[\"“«„]|[\"”»]")
+# Opening quotation marks with those that close them.
+QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“”", "‘": "’", "‚": "‘’", "«": "»", "»": "«"}
+QUOTE_BYTES = np.zeros(256, np.int64)
+QUOTE_BYTES[[0x22, 0x27, 0xC2, 0xE2]] = 1  # a quotation mark begins with one of these
 FEATURES = ("log_exact", "exact_rate", "log_fuzzy", "fuzzy_rate", "log_stem", "stem_rate", "distinct", "window", "weight", "quoted_share", "addressed")
 MONOTONE = [1, 1, 1, 1, 1, 1, 1, 1, 1, -1, 1]
 EXACT, FUZZY, STEM = 1, 2, 3
@@ -63,6 +68,7 @@ class Lexicon:
                 self._most[node] = max(self._most[node], edits(w))
             self._end[node] = w
         self._lengths = sorted({len(s) for s in stems}, reverse=True)
+        self._longest = max((len(w) + edits(w) for w in words), default=0)
         self._reset()
 
     def _reset(self) -> None:
@@ -123,34 +129,75 @@ class Lexicon:
         for n in self._lengths:
             if word[:n] in self.stems and len(word) >= n:
                 return STEM, word[:n]
-        if 3 < len(word) < 24:
+        if 3 < len(word) <= self._longest:  # longer ones are further from every term
             if len(self._items) > 50_000:
                 self._reset()
             if term := self.fuzzy(plain) or self.fuzzy(word):
                 return FUZZY, term
         return None
 
-    def hits(self, words: list[str]) -> list[tuple[int, int, str]]:
-        """Place, kind and term of the words that match; answers are kept by word."""
+    def known(self, words: list[bytes]) -> list[tuple[int, str] | None]:
+        """Kind and term of each word; answers are kept."""
         known = self._known
         if len(known) > 200_000:
             known.clear()
-        for w in {*words}.difference(known):
-            known[w] = self.match(w)
-        return [(i, *m) for i, w in enumerate(words) if (m := known[w])]
-
-
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    words = WORD.findall(text or "")
-    hits = lexicon.hits(words)
-    if not hits:
-        return [0.0] * len(FEATURES)
-    n, count, weight, quoted, addressed, terms, places = len(words), [0, 0, 0, 0], 0.0, 0, 0, set(), []
-    for i, kind, term in hits:
-        near = [EDGE.sub("", w).lower() for w in words[max(0, i - 4) : i]]
-        said = bool(QUOTES.search(words[i])) or any(w in REPORTING for w in near)
+        for w in words:
+            if w not in known:
+                known[w] = self.match(w.decode())
+        return [known[w] for w in words]
+
+
+def quoted(marked: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """First and last place of each quotation: words with marks and their places, in order. What is never closed is none."""
+    found, close, start = [], "", 0
+    for place, word in marked:
+        core = EDGE.sub("", word)
+        lead, tail = word.split(core, 1) if core else (word, word)
+        for ch in lead:
+            if ch in QUOTES and not (not core and ch in close):  # a mark by itself closes what is open
+                close, start = QUOTES[ch], place
+                if not core:
+                    tail = ""
+        if close and any(ch in close for ch in tail):
+            found.append((start, place))
+            close = ""
+    return found
+
+
+def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """A row of FEATURES for each text."""
+    raw, at = utf8(texts)
+    out = np.zeros((len(at) - 1, len(FEATURES)))
+    b, e, doc = words_of(raw, at)
+    if not len(b):
+        return out
+    _, first, which = np.unique(span_hash(raw, b, e), return_index=True, return_inverse=True)
+    data = raw.tobytes()
+    found = lexicon.known([data[x:y] for x, y in zip(b[first].tolist(), e[first].tolist())])
+    hits = np.flatnonzero(np.array([f is not None for f in found])[which])
+    quotes = np.concatenate([[0], np.cumsum(QUOTE_BYTES[raw])])
+    begins = np.searchsorted(doc, np.arange(len(at)))
+    word = lambda i: data[b[i] : e[i]].decode()
+    cuts = np.flatnonzero(np.diff(doc[hits], prepend=-1)).tolist()
+    for low, high in zip(cuts, [*cuts[1:], len(hits)]):
+        own = hits[low:high].tolist()
+        i = int(doc[own[0]])
+        start, n = int(begins[i]), int(begins[i + 1] - begins[i])
+        marked = start + np.flatnonzero(quotes[e[start : start + n]] > quotes[b[start : start + n]])
+        spans = quoted([(k, word(k)) for k in marked.tolist()])
+        out[i] = _row([(k - start, *found[which[k]], [EDGE.sub("", word(j)).lower() for j in range(max(start, k - 4), k)], k) for k in own], n, spans, lexicon)
+    return out
+
+
+def _row(hits: list[tuple[int, int, str, list[str], int]], n: int, spans: list[tuple[int, int]], lexicon: Lexicon) -> list[float]:
+    """hits: place, kind, term, the words before, place in the batch; spans: of quotations in the batch."""
+    count, weight, said_, addressed, terms, places, at = [0, 0, 0, 0], 0.0, 0, 0, set(), [], 0
+    for i, kind, term, near, place in hits:
+        while at < len(spans) and spans[at][1] < place:
+            at += 1
+        said = at < len(spans) and spans[at][0] <= place or any(w in REPORTING for w in near)
         told = any(w in ADDRESS for w in near)
-        quoted, addressed = quoted + said, addressed + told
+        said_, addressed = said_ + said, addressed + told
         count[kind] += 1
         terms.add(term)
         w = (lexicon.stems if kind == STEM else lexicon.words)[term] * (0.5 if kind == FUZZY else 1) * (0.3 if said else 1) * (1.5 if told else 1)
@@ -164,20 +211,20 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             first += 1
         best = max(best, total)
     e, f, s = count[EXACT], count[FUZZY], count[STEM]
-    return [np.log1p(e), e / n, np.log1p(f), f / n, np.log1p(s), s / n, len(terms), best, weight, quoted / len(hits), addressed / len(hits)]
+    return [np.log1p(e), e / n, np.log1p(f), f / n, np.log1p(s), s / n, len(terms), best, weight, said_ / len(hits), addressed / len(hits)]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        x = [features(t, lexicon) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+        x = features(batch.column("text"), lexicon)
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         seen: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            own = {w for raw in set(WORD.findall(text or "")) if (w := EDGE.sub("", raw).lower()) and w.isalpha() and len(w) < 24}
+            own = {w for raw in set(WORD.findall(text or "")) if (w := EDGE.sub("", raw).lower()) and w.isalpha()}
             for term in {"w" + w for w in own} | {f"s{w[:n]}" for w in own for n in (4, 5, 6, 7) if len(w) >= n}:
                 seen.setdefault(term, [0, 0])[toxic > 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
@@ -222,8 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, term_sample:
 
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, forest: Forest) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        x = np.array([features(t, lexicon) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
-        p = np.round(forest.probability(x), 6)
+        p = np.round(forest.probability(features(batch.column("text"), lexicon)), 6)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
@@ -236,8 +282,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, te
 
 def _filtered(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, forest: Forest) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        x = np.array([features(t, lexicon) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
-        yield batch.filter(pa.array(np.round(forest.probability(x), 6) < THRESHOLD))
+        yield batch.filter(pa.array(np.round(forest.probability(features(batch.column("text"), lexicon)), 6) < THRESHOLD))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, term_sample: int = TERM_SAMPLE) -> DataFrame:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -36,10 +37,30 @@ def test_matches():
     assert LEXICON.match("student") is None
 
 
+def rows(*texts):
+    return [dict(zip(toxicity.FEATURES, r)) for r in toxicity.features(pa.array(texts, pa.string()), LEXICON)]
+
+
 def test_quotation_and_windows():
-    plain, quoted = (toxicity.features(t, LEXICON) for t in ("x you are stupid", 'x he said "stupid" then'))
-    k = toxicity.FEATURES.index("window")
-    assert plain[k] > quoted[k] > 0
+    plain, said, long, open_, german, alone, after = rows(
+        "x you are stupid", 'x he said "stupid" then', '"you are such a total stupid one today" was the phrase', '"you are such a total stupid one today', "„du bist so stupid heute“ war das Wort", '" you are stupid " was it', '"a quotation" and you are stupid'
+    )
+    assert plain["window"] > said["window"] > 0 and plain["quoted_share"] == 0
+    for x in (said, long, german, alone):
+        assert x["quoted_share"] == 1, x
+    assert long["window"] < open_["window"] and open_["quoted_share"] == after["quoted_share"] == 0
+
+
+def test_batches_do_not_matter():
+    texts = [None, "", *(t for _, t, *_ in awkward()), "stupid", 'a "b c stupid d" e stupid', "don't be stupid, it's 'scum' you know"]
+    assert rows(*texts) == [rows(t)[0] for t in texts]
+
+
+def test_long_words():
+    term = "donaudampfschifffahrtsgesellschaft"
+    lexicon = toxicity.Lexicon({term: 3.0}, {})
+    assert lexicon.match(term)[0] == toxicity.EXACT and lexicon.match(term[:20] + "x" + term[21:])[0] == toxicity.FUZZY
+    assert lexicon.match(term + "xyz") is None and lexicon.match("z" * 100_000) is None
 
 
 def test_held_out(spark):
@@ -47,7 +68,6 @@ def test_held_out(spark):
     labels = table(spark, sf, "labels")
     got = toxicity.score_documents(table(spark, sf, "documents"), labels).join(labels, "doc_id").where("held_out")
     c = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
-    print(c)
     assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) > 0.8 and c.get((0, 1), 0) / c[0, 0] < 0.02
 
 
