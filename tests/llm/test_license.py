@@ -5,10 +5,11 @@ from tessera.llm import license
 from tessera.llm.common import table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-RULES = [(label, p, word, re.compile(f"(?<= )(?:{rx})(?= )")) for label, p, word, rx in license.rules()]
+RULES = [(r.label, r.priority, r.words, re.compile(f"(?<= )(?:{r.pattern})(?= )")) for r in license.rules()]
 
 
-def plain(text):
+def plain(text, gated=False):
+    """Every rule on every text; gated: only rules whose keywords are among the words, which other tests show to be no loss."""
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     at, base = [], set()
     for phrase, label in license.BASE.items():
@@ -18,11 +19,10 @@ def plain(text):
                 at.append(i)
                 base.add(label)
     s = f" {' '.join(words)} " if words else ""
-    found = []
-    if any(x in s for x in (*license.TRUNKS, *(f" {b} " for b in license.BASE))):
-        for k, (label, p, word, rx) in enumerate(RULES):
-            if word in s:
-                found += [(m.start(), -m.end(), -p, k, label) for m in rx.finditer(s)]
+    found, own = [], set(words)
+    for k, (label, p, needed, rx) in enumerate(RULES):
+        if not gated or own.issuperset(needed):
+            found += [(m.start(), -m.end(), -p, k, label) for m in rx.finditer(s)]
     found.sort()
     kept = []
     for d in found:  # every kept one before it begins no later
@@ -41,16 +41,25 @@ MORE = [
     "This work is licensed under the GNU General Public License, version 3. public domain",
     "cc by nc " * 300,
     "under the mít license, underthe mit license; under\x00the\x7fmit{license",
+    "\N{GRINNING FACE} " * 10 + "under the mit license, and \N{GRINNING FACE} released under the MIT \N{GRINNING FACE} licence",
+    "mit license mit license license mit", "cc by nc cc by nc nd 4 0 cc by", "GPLv3, licensed under the GPLv2 or GPL v3; licensed under LGPL 2.1",
 ]
 
 
 def test_rules_are_many():
-    assert len(RULES) > 250
+    assert len(RULES) > 600 and len(license.NOTICES) + len(license.NAMES) + len(license.FORMS) > 180
 
 
 def test_whole_table(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     got = by_id(license.scan_licenses(d))
+    for r in d.collect():
+        assert tuple(got[r["doc_id"]][c] for c in COLUMNS) == plain(r["text"], True), r["doc_id"]
+
+
+def test_whole_table_without_gates(spark, sf):
+    d = table(spark, sf, "documents")
+    got = by_id(license.scan_licenses(d))
     for r in d.collect():
         assert tuple(got[r["doc_id"]][c] for c in COLUMNS) == plain(r["text"]), r["doc_id"]
 
@@ -72,6 +81,8 @@ def spellings(rx, most=1):
             kind = str(op)
             if kind == "LITERAL":
                 ways = [chr(x)]
+            elif kind == "NOT_LITERAL":
+                ways = ["x"]
             elif kind == "IN":
                 ways = [chr(v if str(k) == "LITERAL" else v[1]) for k, v in x]
             elif kind == "SUBPATTERN":
@@ -79,7 +90,7 @@ def spellings(rx, most=1):
             elif kind == "BRANCH":
                 ways = [w for way in x[1] for w in some(way)]
             elif kind == "MAX_REPEAT":
-                ways = [w * n for n in {x[0], max(x[0], x[1] * most)} for w in some(x[2])]
+                ways = [w * n for n in {x[0], max(x[0], min(x[1], 2) * most)} for w in some(x[2])]
             else:
                 raise ValueError(kind)
             out = [a + w for a in out for w in ways]
@@ -88,12 +99,6 @@ def spellings(rx, most=1):
     return some(re._parser.parse(rx))
 
 
-def test_no_trunk_gate_hides_a_rule():
-    for label, _, _, rx in license.rules():
-        for x in spellings(rx, 0):
-            assert any(t in f" {x} " for t in license.TRUNKS), (label, x)
-
-
 UNGATED = {
     "Released under the MIT": "mit",
     "Distributed under BSD-3-Clause": "bsd-3-clause",
@@ -113,23 +118,18 @@ def test_texts_without_the_word_license(spark):
         assert (got[i]["labels"], got[i]["n_detections"]) == (label, 1), t
 
 
-def test_whole_table_without_gates(spark, monkeypatch):
-    """Against plain code that runs every rule on every text."""
-    d = table(spark, "/root/testdata/sf0.01", "documents").limit(1500)
-    rows = [(r["doc_id"], r["text"], None, None, None) for r in d.collect()]
-    rows += [(10**9 + i, f"{t} {rows[i][1]}", None, None, None) for i, t in enumerate([*UNGATED, *MORE])]
-    got = by_id(license.scan_licenses(fixture(spark, rows)))
-    monkeypatch.setattr(license, "TRUNKS", ("",))
-    monkeypatch.setitem(globals(), "RULES", [(label, p, "", rx) for label, p, _, rx in RULES])
-    for i, t, *_ in rows:
-        assert tuple(got[i][c] for c in COLUMNS) == plain(t), t[:80]
+def test_every_spelling_holds_its_keywords():
+    parts = [(word, rx) for _, word, rx in license.NAMES] + [(word, rx.replace("{}", "name")) for _, word, rx in license.FORMS] + [(word, rx) for _, _, word, rx in license.NOTICES]
+    for words, rx in parts:
+        for most in (0, 1):
+            assert all(set(words.split()) <= set(x.split()) for x in spellings(rx, most)), (words, rx)
 
 
-def test_every_spelling_holds_its_keyword():
-    for _, word, name in license.NAMES:
-        assert all(word in x for x in spellings(name)), name
-    for _, _, word, rx in license.NOTICES:
-        assert all(word in x for x in spellings(rx)), rx
+def test_a_spelling_of_every_notice_is_found(spark):
+    rows = [(i, f"x {spellings(rx, 0)[0]}. y", None, None, None) for i, (_, _, _, rx) in enumerate(license.NOTICES)]
+    got = by_id(license.scan_licenses(fixture(spark, rows)))
+    for i, t, *_ in rows:
+        assert tuple(got[i][c] for c in COLUMNS) == plain(t) and license.NOTICES[i][0] in got[i]["labels"].split(","), t
 
 
 def test_spellings_of_a_name(spark):
