@@ -192,7 +192,7 @@ NOTICES = (
     ("odbl-1", 4, "open database license", "open database license(?: odbl)?(?: v(?:ersion)? 1 0)?"),
     ("odc-by-1", 4, "open data commons", "open data commons attribution license(?: v(?:ersion)? 1 0)?"),
     ("pddl-1", 4, "public domain dedication and", "public domain dedication and licen[cs]e(?: pddl)?(?: v(?:ersion)? 1 0)?"),
-    ("cdla", 4, "community data license", "community data license agreement(?: permissive| sharing)?(?: version)? (?:[12] 0)?"),
+    ("cdla", 4, "community data license", "community data license agreement(?: permissive| sharing)?(?: version)?(?: [12] 0)?"),
     ("ogl-3", 4, "open government", "open government licen[cs]e(?: v(?:ersion)? [123] 0)?"),
     ("etalab-2", 4, "licence ouverte", "licence ouverte(?: open licence)?(?: v(?:ersion)? 2 0)?"),
     ("dl-de", 4, "datenlizenz", "datenlizenz deutschland(?: namensnennung| zero)?(?: version 2 0)?"),
