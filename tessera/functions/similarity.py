@@ -39,14 +39,18 @@ def grams(c: Column, n: int = 3) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
-def same_found(a: Column, b: Column, pattern: str) -> Column:
-    """1 if both have the pattern and its first places are equal."""
-    x, y = (F.regexp_extract(c, pattern, 0) for c in (a, b))
-    return flag((x != "") & (x == y))
+def found(c: Column, pattern: str) -> Column:
+    """The first place of the pattern, empty if there is none."""
+    return F.regexp_extract(c, pattern, 0)
 
 
 def house_number(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(?U)\b\d+\b", 0), F.lit(""))
+    return found(c, r"(?U)\b\d+\b")
+
+
+def same_found(x: Column, y: Column) -> Column:
+    """1 if both are found and equal."""
+    return flag((x != "") & (x == y))
 
 
 def digits(c: Column) -> Column:
@@ -62,7 +66,7 @@ NATIVE = ("f1_n_exact", "f4_n_jaccard", "f5_n_overlap", "f6_n_ngram", "f7_n_len_
 
 
 def native_features(x: dict[str, Column], source: Column) -> list[Column]:
-    """The sixteen native features, in the order of NATIVE, of prepared names n, addresses a, countries c, tokens t and u, grams g."""
+    """The sixteen native features, in the order of NATIVE, of prepared names n, addresses a, countries c, tokens t and u, grams g, house numbers h, postal codes p."""
     n1, n2, a1, a2, c1, c2 = (x[k] for k in ("n1", "n2", "a1", "a2", "c1", "c2"))
     jac = jaccard(x["u1"], x["u2"])
     made = (
@@ -70,7 +74,7 @@ def native_features(x: dict[str, Column], source: Column) -> list[Column]:
         F.when((F.size(x["g1"]) > 0) & (F.size(x["g2"]) > 0), jaccard(x["g1"], x["g2"])).otherwise(0.0),
         F.abs(F.length(n1) - F.length(n2)).cast("double"),
         flag((F.length(n1) >= 4) & (F.length(n2) >= 4) & (F.substring(n1, 1, 4) == F.substring(n2, 1, 4))),
-        flag((a1 != "") & (a1 == a2)), jac, same_found(a1, a2, r"(?U)\b\d+\b"), same_found(a1, a2, POSTAL), jac,
+        flag((a1 != "") & (a1 == a2)), jac, same_found(x["h1"], x["h2"]), same_found(x["p1"], x["p2"]), jac,
         F.abs(F.length(a1) - F.length(a2)).cast("double"), flag((c1 != "") & (c1 == c2)), flag(F.lower(source) == "s3"),
         flag((n1 == "") | (n2 == "")), flag((a1 == "") | (a2 == "")),
     )

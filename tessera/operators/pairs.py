@@ -17,34 +17,60 @@ FEATURES = (
 _FIELDS = {"n": "name", "a": "addr", "c": "country"}
 
 
+def _side(records: DataFrame, key: str, p: str) -> DataFrame:
+    return records.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{p}_{s}") for c, s in (("business_name", "name"), ("business_address", "addr"), ("country", "country"))))
+
+
 def hydrate(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
     """Pairs with both records' name, address and country."""
-    side = lambda d, key, p: d.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{p}_{s}") for c, s in (("business_name", "name"), ("business_address", "addr"), ("country", "country"))))
-    return pairs.join(side(base, "s1_id", "s1"), "s1_id").join(side(target, "target_id", "s2"), "target_id")
+    return pairs.join(_side(base, "s1_id", "s1"), "s1_id").join(_side(target, "target_id", "s2"), "target_id")
+
+
+def _lists(n: Column, a: Column) -> dict[str, Column]:
+    """Tokens, grams, house number, postal code and digits of a prepared name and address."""
+    return {"t": similarity.tokens(n), "u": similarity.tokens(a), "g": similarity.grams(n), "h": similarity.house_number(a), "p": similarity.found(a, similarity.POSTAL), "d": similarity.digits(F.concat(n, a))}
+
+
+def described(records: DataFrame, k: int) -> DataFrame:
+    """s{k}_name, s{k}_addr and s{k}_country replaced by r{k}: prepared strings and their lists, each made once.
+
+    A struct in a generator is not put anew into every use.
+    """
+    raw = [f"s{k}_{c}" for c in _FIELDS.values()]
+    d = records.withColumn("s", F.explode(F.array(F.struct(*(similarity.prepared(F.col(c)).alias(x) for x, c in zip(_FIELDS, raw))))))
+    lists = _lists(F.col("s.n"), F.col("s.a"))
+    return d.withColumn(f"r{k}", F.explode(F.array(F.struct("s.*", *(c.alias(x) for x, c in lists.items()))))).drop("s", *raw)
+
+
+def hydrate_described(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
+    """Pairs with both records described; each record is described once, before it meets its pairs."""
+    one, two = described(_side(base, "s1_id", "s1"), 1), described(_side(target, "target_id", "s2"), 2)
+    return pairs.join(one, "s1_id").join(two, "target_id")
 
 
-def _described(pairs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    """The pairs with prepared strings, tokens and grams, each made once: a struct in a generator is not put anew into every use."""
-    strings = F.struct(*(similarity.prepared(F.col(f"s{k}_{c}")).alias(f"{x}{k}") for x, c in _FIELDS.items() for k in (1, 2)))
-    p = pairs.withColumn("s", F.explode(F.array(strings)))
-    lists = F.struct(*(f(F.col(f"s.{x}{k}")).alias(f"{y}{k}") for x, y, f in (("n", "t", similarity.tokens), ("a", "u", similarity.tokens), ("n", "g", similarity.grams)) for k in (1, 2)))
-    p = p.withColumn("l", F.explode(F.array(lists)))
-    return p, {f"{x}{k}": F.col(f"{s}.{x}{k}") for s, names in (("s", "nac"), ("l", "tug")) for x in names for k in (1, 2)}
+def _both(pairs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The pairs and the fields of both records, described here where the pairs come with strings."""
+    if "r1" in pairs.columns:
+        return pairs, {f"{x}{k}": F.col(f"r{k}.{x}") for k in (1, 2) for x in "nactughpd"}
+    p = pairs.withColumn("s", F.explode(F.array(F.struct(*(similarity.prepared(F.col(f"s{k}_{c}")).alias(f"{x}{k}") for x, c in _FIELDS.items() for k in (1, 2))))))
+    lists = {f"{x}{k}": c for k in (1, 2) for x, c in _lists(F.col(f"s.n{k}"), F.col(f"s.a{k}")).items()}
+    p = p.withColumn("l", F.explode(F.array(F.struct(*(c.alias(x) for x, c in lists.items())))))
+    return p, {f"{x}{k}": F.col(f"s.{x}{k}") for x in _FIELDS for k in (1, 2)} | {x: F.col(f"l.{x}") for x in lists}
 
 
 def native_features(pairs: DataFrame, source: str) -> DataFrame:
-    """The sixteen features that need no Python."""
-    p, x = _described(pairs)
+    """The sixteen features that need no Python, of described pairs or of pairs with strings."""
+    p, x = _both(pairs)
     return p.select("s1_id", "target_id", *similarity.native_features(x, F.lit(source)))
 
 
 def features(pairs: DataFrame, source: str) -> DataFrame:
     """All 21 features as floats, other columns of the pairs kept."""
-    p, x = _described(pairs)
-    digits = [similarity.digits(F.concat(x[f"n{k}"], x[f"a{k}"])) for k in (1, 2)]
-    p = p.withColumn("kernel", kernels.kernel_features(x["n1"], x["n2"], x["a1"], x["a2"], *digits))
+    p, x = _both(pairs)
+    kept = [c for c in p.columns if c not in ("r1", "r2", "s", "l")]
     made = similarity.native_features(x, F.lit(source))
-    return p.select(*pairs.columns, *made, "kernel.*").select(*pairs.columns, *(F.col(f).cast("float").alias(f) for f in FEATURES))
+    p = p.select(*kept, *made, kernels.kernel_features(*(x[c] for c in ("n1", "n2", "a1", "a2", "d1", "d2"))).alias("kernel"))
+    return p.select(*kept, *(F.col(f if f in similarity.NATIVE else f"kernel.{f}").cast("float").alias(f) for f in FEATURES))
 
 
 def legacy(pairs: DataFrame) -> DataFrame:

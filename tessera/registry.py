@@ -107,13 +107,75 @@ def features_sql(s: int) -> str:
     return f"""prep_{s} AS (SELECT s1_id, target_id, {_prep('s1_name')} AS n1, {_prep('s2_name')} AS n2, {_prep('s1_addr')} AS a1, {_prep('s2_addr')} AS a2,
     {_prep('s1_country')} AS c1, {_prep('s2_country')} AS c2 FROM ({HYDRATED.format(s=s)})),
   toks_{s} AS (SELECT *, {_tok('n1')} AS tn1, {_tok('n2')} AS tn2, {_tok('a1')} AS ta1, {_tok('a2')} AS ta2, {grams.format('n1')} AS g1, {grams.format('n2')} AS g2 FROM prep_{s}),
-  feat_{s} AS (SELECT s1_id, target_id, {_flag("n1 <> '' AND n1 = n2")} AS f1_n_exact, round({_jac('tn1', 'tn2')}, 6) AS f4_n_jaccard,
-    round(CASE WHEN least(len(tn1), len(tn2)) > 0 THEN len(list_intersect(tn1, tn2))::DOUBLE / least(len(tn1), len(tn2)) ELSE 0.0 END, 6) AS f5_n_overlap,
-    round(CASE WHEN len(g1) > 0 AND len(g2) > 0 THEN {_jac('g1', 'g2')} ELSE 0.0 END, 6) AS f6_n_ngram, abs(length(n1) - length(n2))::DOUBLE AS f7_n_len_diff,
+  exact_{s} AS (SELECT s1_id, target_id, {_flag("n1 <> '' AND n1 = n2")} AS f1_n_exact, {_jac('tn1', 'tn2')} AS f4_n_jaccard,
+    (CASE WHEN least(len(tn1), len(tn2)) > 0 THEN len(list_intersect(tn1, tn2))::DOUBLE / least(len(tn1), len(tn2)) ELSE 0.0 END) AS f5_n_overlap,
+    (CASE WHEN len(g1) > 0 AND len(g2) > 0 THEN {_jac('g1', 'g2')} ELSE 0.0 END) AS f6_n_ngram, abs(length(n1) - length(n2))::DOUBLE AS f7_n_len_diff,
     {_flag('length(n1) >= 4 AND length(n2) >= 4 AND substr(n1, 1, 4) = substr(n2, 1, 4)')} AS f8_n_prefix, {_flag("a1 <> '' AND a1 = a2")} AS f9_a_exact,
-    round({_jac('ta1', 'ta2')}, 6) AS f10_a_jaccard, {_found(chr(92) + 'b' + chr(92) + 'd+' + chr(92) + 'b')} AS f12_a_house, {_found(POSTAL)} AS f13_a_postal, round({_jac('ta1', 'ta2')}, 6) AS f14_a_city_overlap,
+    {_jac('ta1', 'ta2')} AS f10_a_jaccard, {_found(chr(92) + 'b' + chr(92) + 'd+' + chr(92) + 'b')} AS f12_a_house, {_found(POSTAL)} AS f13_a_postal, {_jac('ta1', 'ta2')} AS f14_a_city_overlap,
     abs(length(a1) - length(a2))::DOUBLE AS f15_a_len_diff, {_flag("c1 <> '' AND c1 = c2")} AS f16_country_match, {_flag("'s%d' = 's3'" % (s + 1))} AS f17_is_s3,
-    {_flag("n1 = '' OR n2 = ''")} AS f18_n_missing, {_flag("a1 = '' OR a2 = ''")} AS f19_a_missing FROM toks_{s})"""
+    {_flag("n1 = '' OR n2 = ''")} AS f18_n_missing, {_flag("a1 = '' OR a2 = ''")} AS f19_a_missing FROM toks_{s}),
+  feat_{s} AS (SELECT s1_id, target_id, {', '.join(f"round({f}, 6) AS {f}" for f in similarity.NATIVE)} FROM exact_{s})"""
+
+
+def ratio_sql(name: str, strings: str) -> str:
+    """Table name(a, b, ratio): twice the longest common subsequence over both lengths, of the pairs (a, b) that `strings` selects; bit-parallel."""
+    full = "((1::HUGEINT << length(s.a)::INTEGER) - 1)"
+    return f"""{name}_pairs AS (SELECT DISTINCT a, b FROM ({strings})),
+  {name}_masks AS (SELECT a, map_from_entries(list((ch, m))) AS masks FROM (SELECT a, ch, sum(1::HUGEINT << i)::HUGEINT AS m FROM (SELECT a, unnest(string_split(a, '')) AS ch,
+    (generate_subscripts(string_split(a, ''), 1) - 1)::INTEGER AS i FROM (SELECT DISTINCT a FROM {name}_pairs WHERE a <> '')) GROUP BY a, ch) GROUP BY a),
+  {name}_rows AS (SELECT s.a, s.b, {full} AS whole, list_transform(string_split(s.b, ''), lambda ch: coalesce(k.masks[ch], 0::HUGEINT)) AS row FROM {name}_pairs s JOIN {name}_masks k USING (a) WHERE s.b <> ''),
+  {name} AS (SELECT a, b, 2.0::DOUBLE * (length(a) - bit_count({_subsequence('row', 'whole')})) / (length(a) + length(b)) AS ratio FROM {name}_rows
+    UNION ALL SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END FROM {name}_pairs WHERE a = '' OR b = '')"""
+
+
+def _subsequence(masks: str, whole: str) -> str:
+    return f"list_reduce({masks}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {whole}, {whole})"
+
+
+# Of lower-cased strings each letter outside ASCII is put as one byte, as DuckDB's measure goes by bytes.
+BYTEWISE = "translate({}, 'äöüßáéíóúàèìòùâêîôûëïçñœæ¿¡’', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{{}}')"
+DIGITS = "array_to_string(regexp_extract_all({}, '[0-9]+'), '')"
+
+
+def token_set_sql(name: str, strings: str) -> str:
+    """Table name(x, y, token_set) of the pairs (x, y) that `strings` selects."""
+    tokens = "list_distinct(list_filter(regexp_split_to_array({}, '\\s+'), lambda t: t <> ''))"
+    joined = "array_to_string(list_sort({}), ' ')"
+    return f"""{name}_lists AS (SELECT x, y, {tokens.format('x')} AS tx, {tokens.format('y')} AS ty FROM (SELECT DISTINCT x, y FROM ({strings}))),
+  {name}_parts AS (SELECT x, y, tx, ty, {joined.format('list_intersect(tx, ty)')} AS shared, {joined.format('list_filter(tx, lambda t: NOT list_contains(ty, t))')} AS l, {joined.format('list_filter(ty, lambda t: NOT list_contains(tx, t))')} AS r FROM {name}_lists),
+  {name}_whole AS (SELECT *, trim(shared || ' ' || l) AS one, trim(shared || ' ' || r) AS other FROM {name}_parts),
+  {ratio_sql(f'{name}_ratio', f"SELECT one AS a, other AS b FROM {name}_whole UNION SELECT shared, one FROM {name}_whole WHERE shared <> '' UNION SELECT shared, other FROM {name}_whole WHERE shared <> ''")},
+  {name} AS (SELECT x, y, CASE WHEN len(tx) = 0 OR len(ty) = 0 THEN 0.0 WHEN shared <> '' AND (l = '' OR r = '') THEN 1.0 WHEN shared = '' THEN p.ratio ELSE greatest(p.ratio, q.ratio, o.ratio) END AS token_set
+    FROM {name}_whole w JOIN {name}_ratio p ON p.a = w.one AND p.b = w.other LEFT JOIN {name}_ratio q ON q.a = w.shared AND q.b = w.one LEFT JOIN {name}_ratio o ON o.a = w.shared AND o.b = w.other)"""
+
+
+def kernels_sql(s: int) -> str:
+    """Table kern_{s}: the five measures of all candidate pairs."""
+    p = f"prep_{s}"
+    d1, d2 = DIGITS.format("n1 || a1"), DIGITS.format("n2 || a2")
+    return f"""{ratio_sql('rn', f'SELECT n1 AS a, n2 AS b FROM {p}')}, {ratio_sql('ra', f'SELECT a1 AS a, a2 AS b FROM {p}')}, {ratio_sql('rd', f'SELECT {d1} AS a, {d2} AS b FROM {p}')},
+  {token_set_sql('ts', f"SELECT n1 || ' ' || a1 AS x, n2 || ' ' || a2 AS y FROM {p}")},
+  kern_{s} AS (SELECT s1_id, target_id, round(CASE WHEN n1 = n2 THEN 1.0 ELSE jaro_winkler_similarity({BYTEWISE.format('n1')}, {BYTEWISE.format('n2')}) END, 12) AS f2_n_jw, round(rn.ratio, 12) AS f3_n_lev, round(ra.ratio, 12) AS f11_a_lev, round(rd.ratio, 12) AS f20_digit_ratio, round(token_set, 12) AS f21_comb_token_set
+    FROM {p} JOIN rn ON rn.a = n1 AND rn.b = n2 JOIN ra ON ra.a = a1 AND ra.b = a2 JOIN rd ON rd.a = {d1} AND rd.b = {d2} JOIN ts ON ts.x = n1 || ' ' || a1 AND ts.y = n2 || ' ' || a2)"""
+
+
+def legacy_sql(s: int) -> str:
+    """Table legacy_{s}: the older ten features."""
+    def tokens(c: str) -> str:
+        return f"array_to_string(list_sort(list_filter(regexp_split_to_array({c}, '\\s+'), lambda t: t <> '')), ' ')"
+
+    numbers = "regexp_extract_all({}, '[0-9]+')"
+    raw = f"""raw_{s} AS (SELECT *, {tokens('n1')} AS t1, {tokens('n2')} AS t2, CASE WHEN length(n1) <= length(n2) THEN n1 ELSE n2 END AS short, CASE WHEN length(n1) <= length(n2) THEN n2 ELSE n1 END AS long FROM (
+    SELECT s1_id, target_id, coalesce(s1_name, '') AS n1, coalesce(s2_name, '') AS n2, coalesce(s1_addr, '') AS a1, coalesce(s2_addr, '') AS a2 FROM ({HYDRATED.format(s=s)})))"""
+    stretch = "list_slice(row, greatest(0, i) + 1, i + length(a))"
+    best = f"list_max(list_transform(range(1 - length(a), length(b)), lambda i: 2.0::DOUBLE * (length(a) - bit_count({_subsequence(stretch, 'whole')})) / (length(a) + len({stretch}))))"
+    return f"""{raw}, {ratio_sql('rn', f'SELECT n1 AS a, n2 AS b FROM raw_{s}')}, {ratio_sql('rt', f'SELECT t1 AS a, t2 AS b FROM raw_{s}')}, {ratio_sql('ra', f'SELECT a1 AS a, a2 AS b FROM raw_{s}')},
+  {ratio_sql('rp', f'SELECT short AS a, long AS b FROM raw_{s}')}, parts AS (SELECT a, b, {best} AS best FROM rp_rows UNION ALL SELECT a, b, CASE WHEN b = '' THEN 1.0 ELSE 0.0 END FROM rp_pairs WHERE a = '' OR b = ''),
+  {token_set_sql('tn', f'SELECT n1 AS x, n2 AS y FROM raw_{s}')}, {token_set_sql('ta', f'SELECT a1 AS x, a2 AS y FROM raw_{s}')},
+  legacy_{s} AS (SELECT s1_id, target_id, round(100 * rn.ratio, 6) AS name_ratio, round(100 * parts.best, 6) AS name_partial, round(100 * rt.ratio, 6) AS name_token_sort, round(100 * tn.token_set, 6) AS name_token_set,
+    round(100 * ra.ratio, 6) AS addr_ratio, round(100 * ta.token_set, 6) AS addr_token_set, {_flag(f"list_has_any({numbers.format('a1')}, {numbers.format('a2')})")} AS num_match,
+    abs(length(n1) - length(n2))::DOUBLE AS len_diff_name, abs(length(a1) - length(a2))::DOUBLE AS len_diff_addr, {_flag("a1 = '' OR a2 = ''")} AS missing_addr
+    FROM raw_{s} JOIN rn ON rn.a = n1 AND rn.b = n2 JOIN rt ON rt.a = t1 AND rt.b = t2 JOIN ra ON ra.a = a1 AND ra.b = a2 JOIN parts ON parts.a = short AND parts.b = long JOIN tn ON tn.x = n1 AND tn.y = n2 JOIN ta ON ta.x = a1 AND ta.y = a2)"""
 
 
 def scored_sql(s: int) -> str:
@@ -177,8 +239,13 @@ def _hydrated(spark: SparkSession, sf_dir: str, s: int) -> DataFrame:
     return pairs.hydrate(written(blocking.candidates(base, target), "candidates"), base, target)
 
 
+def _described(spark: SparkSession, sf_dir: str, s: int) -> DataFrame:
+    base, target = _sides(spark, sf_dir, s)
+    return pairs.hydrate_described(written(blocking.candidates(base, target), "candidates"), base, target)
+
+
 def _features(spark: SparkSession, sf_dir: str, s: int) -> DataFrame:
-    f = pairs.native_features(_hydrated(spark, sf_dir, s), f"s{s + 1}")
+    f = pairs.native_features(_described(spark, sf_dir, s), f"s{s + 1}")
     return f.select("s1_id", "target_id", *(F.round(c, 6).alias(c) for c in similarity.NATIVE))
 
 
@@ -208,14 +275,36 @@ def features_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir, 1)
 
 
-@query()
+def _rounded(features: DataFrame, *names: str) -> DataFrame:
+    return features.select("s1_id", "target_id", *(F.round(F.col(f).cast("double"), 6).alias(f) for f in names))
+
+
+def _rounded_sql(*names: str) -> str:
+    return ", ".join(f"round({f}::FLOAT::DOUBLE, 6) AS {f}" for f in names)
+
+
+KERNELS_SQL = (candidates_sql, features_sql, kernels_sql)
+
+
+@query(f"{chain(*upto(1, *KERNELS_SQL))}SELECT s1_id, target_id, {_rounded_sql(*pairs.FEATURES)} FROM exact_1 JOIN kern_1 USING (s1_id, target_id)")
 def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.features(_hydrated(spark, sf_dir, 1), "s2").select("s1_id", "target_id", *pairs.FEATURES)
+    return _rounded(pairs.features(_described(spark, sf_dir, 1), "s2"), *pairs.FEATURES)
 
 
-@query()
+@query(f"{chain(*upto(1, *KERNELS_SQL))}SELECT s1_id, target_id, {_rounded_sql('f3_n_lev', 'f11_a_lev', 'f20_digit_ratio')} FROM kern_1")
+def features_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pairs.features(_described(spark, sf_dir, 1), "s2"), "f3_n_lev", "f11_a_lev", "f20_digit_ratio")
+
+
+@query(f"{chain(*upto(1, *KERNELS_SQL))}SELECT s1_id, target_id, {_rounded_sql('f21_comb_token_set')} FROM kern_1")
+def feature_token_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(pairs.features(_described(spark, sf_dir, 1), "s2"), "f21_comb_token_set")
+
+
+@query(f"{chain(*upto(1, candidates_sql, legacy_sql))}SELECT * FROM legacy_1")
 def features_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.legacy(_hydrated(spark, sf_dir, 1))
+    f = pairs.legacy(_hydrated(spark, sf_dir, 1))
+    return f.select("s1_id", "target_id", *(F.round(c, 6).alias(c) for c in f.columns[2:]))
 
 
 @query(

@@ -44,6 +44,22 @@ def test_jaro_winkler_equals_duckdb(rows):
             assert abs(kernels.jaro_winkler(a, b) - duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]) < 1e-9
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(TEXT, TEXT), max_size=9), st.sampled_from([3, 256]))
+def test_many_pairs_at_once(rows, longest):
+    a, b = ([r[k] for r in rows] for k in (0, 1))
+    was, kernels.LONGEST = kernels.LONGEST, longest
+    try:
+        for many, one in ((kernels.ratios, kernels.ratio), (kernels.jaro_winklers, kernels.jaro_winkler), (kernels.token_set_ratios, kernels.token_set_ratio)):
+            assert [round(x, 12) for x in many(a, b)] == [round(one(x, y), 12) for x, y in rows]
+    finally:
+        kernels.LONGEST = was
+    for x, y in rows:
+        short, long = sorted((x, y), key=len)
+        stretches = [long[max(0, i) : i + len(short)] for i in range(1 - len(short), len(long))]
+        assert kernels.partial_ratio(x, y) == (max(kernels.ratio(short, z) for z in stretches) if short else float(not long))
+
+
 def test_known_values():
     assert kernels.common_subsequence("kitten", "sitting") == 4
     assert kernels.ratio("", "") == 1 and kernels.ratio("a", "") == 0
