@@ -41,6 +41,7 @@ QUOTE_BYTES[[0x22, 0x27, 0xC2, 0xE2]] = 1  # a quotation mark begins with one of
 FEATURES = ("log_exact", "exact_rate", "log_fuzzy", "fuzzy_rate", "log_stem", "stem_rate", "distinct", "window", "weight", "quoted_share", "addressed")
 MONOTONE = [1, 1, 1, 1, 1, 1, 1, 1, 1, -1, 1]
 EXACT, FUZZY, STEM = 1, 2, 3
+KNOWN_WORDS = 500_000
 
 
 def edits(term: str) -> int:
@@ -123,23 +124,24 @@ class Lexicon:
         """Kind and term of a word of a text."""
         word = EDGE.sub("", raw).lower()
         plain = word.translate(LEET)
-        for w in (word, plain):
-            if w in self.words:
-                return EXACT, w
+        if word in self.words:
+            return EXACT, word
+        if plain in self.words:
+            return EXACT, plain
         for n in self._lengths:
             if word[:n] in self.stems and len(word) >= n:
                 return STEM, word[:n]
         if 3 < len(word) <= self._longest:  # longer ones are further from every term
             if len(self._items) > 50_000:
                 self._reset()
-            if term := self.fuzzy(plain) or self.fuzzy(word):
+            if term := self.fuzzy(plain) or (plain != word and self.fuzzy(word)):
                 return FUZZY, term
         return None
 
     def known(self, words: list[bytes]) -> list[tuple[int, str] | None]:
         """Kind and term of each word; answers are kept."""
         known = self._known
-        if len(known) > 200_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for w in words:
             if w not in known:
