@@ -18,6 +18,21 @@ class Settings:
     negatives: int = 450_000
     validation: float = 0.2
     seed: int = 42
+    trees: int = 250
+    larger_id_first: bool = False  # among equal probabilities
+    spill_dir: str | None = None  # of a session made here; else the cluster's own
 
 
 DEFAULT = Settings()
+
+
+def session(settings: Settings = DEFAULT, **conf: str):
+    """A session with the settings that a session has; a running one is taken as it is."""
+    from pyspark.sql import SparkSession
+
+    builder = SparkSession.builder.config("spark.sql.execution.arrow.maxRecordsPerBatch", str(settings.chunk_rows))
+    if settings.spill_dir:
+        builder = builder.config("spark.local.dir", settings.spill_dir)
+    for k, v in conf.items():
+        builder = builder.config(k.replace("__", "."), v)
+    return builder.getOrCreate()

@@ -84,6 +84,11 @@ def tfidf_candidates(base: DataFrame, target: DataFrame, top: int = DEFAULT.tfid
     return score.where("score > 0").withColumn("place", place).where(F.col("place") <= top).select("s1_id", "target_id", "score")
 
 
+def everywhere(records: DataFrame) -> DataFrame:
+    """The records as of one country, for blocking over all."""
+    return records.withColumn("country", F.lit("*"))
+
+
 def recall(pairs: DataFrame, truth: DataFrame, base: DataFrame) -> DataFrame:
     """One row: hits, true pairs, recall in percent (0 without true pairs), candidates, candidates per base record."""
     hits = truth.select("s1_id", "target_id").distinct().join(pairs.select("s1_id", "target_id").distinct(), ["s1_id", "target_id"], "left_semi")

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def capped(results: DataFrame, most: int) -> DataFrame:
-    """The `most` likeliest targets of each base record."""
-    place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("prob"), "target_id"))
+def capped(results: DataFrame, most: int, larger_id_first: bool = False) -> DataFrame:
+    """The `most` likeliest targets of each base record; of equal ones the smaller target_id, or the larger one."""
+    place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("prob"), F.desc("target_id") if larger_id_first else F.asc("target_id")))
     return results.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def combined(by_source: dict[str, DataFrame], caps: dict[str, int], global_cap: int | None) -> DataFrame:
+def combined(by_source: dict[str, DataFrame], caps: dict[str, int], global_cap: int | None, larger_id_first: bool = False) -> DataFrame:
     """Each source's cap, then one over all; global_cap None leaves it out."""
-    parts = [capped(d, caps[s]) for s, d in by_source.items()]
+    parts = [capped(d, caps[s], larger_id_first) for s, d in by_source.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out if global_cap is None else capped(out, global_cap)
+    return out if global_cap is None else capped(out, global_cap, larger_id_first)
 
 
 def match_lists(matches: DataFrame) -> DataFrame:

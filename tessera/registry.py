@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from tessera.functions import kernels, similarity
 from tessera.functions.normalize import clean_text, plain, sort_key
 from tessera.operators import blocking, matching, pairs, scoring, training
 from tessera.plans import programs
-from tessera.sources import adapters
-from tessera.storage import table, written
+from tessera.sources import adapters, files
+from tessera.storage import shared_dir, table, written
 
 FLAGSHIP = "submission"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,6 +323,11 @@ def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir, 1)
 
 
+@query(f"{chain(*upto(1, *SCORED))}SELECT * FROM scored_1 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, target_id DESC) <= 5")
+def match_cap_larger_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.capped(_results(spark, sf_dir, 1), 5, larger_id_first=True)
+
+
 @query(f"{chain(*BOTH, GLOBAL)}SELECT * FROM matches")
 def match_global_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir)
@@ -362,6 +368,11 @@ def gt_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir)[0]
 
 
+@query(f"WITH {TRUTH} SELECT * FROM gt WHERE target_id LIKE 'S2-1%'")
+def gt_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.exploded_truth(adapters.truth(_docs(spark, sf_dir)), "S2-1")
+
+
 @query(f"WITH {TRUTH} SELECT * FROM pos")
 def pos_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.positives(*_labelled(spark, sf_dir))
@@ -413,15 +424,21 @@ def grams_sql(name: str, table_: str) -> str:
   FROM (SELECT country, entity_id, unnest(list_filter(regexp_split_to_array({CLEAN.format('business_name')}, '\\s+'), lambda x: x <> '')) AS w FROM {table_} WHERE country <> '')) GROUP BY ALL)"""
 
 
-TFIDF = f"""{grams_sql('ga', "(SELECT * FROM src WHERE s = 0)")}, {grams_sql('gb', "(SELECT * FROM src WHERE s = 1)")},
-big_n AS (SELECT country, count(DISTINCT entity_id) AS n FROM src WHERE s = 0 AND country <> '' GROUP BY country),
-idf AS (SELECT country, gram, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM ga JOIN big_n USING (country) GROUP BY country, gram),
+def tfidf_sql(src: str, kept: str = "") -> str:
+    """From the records in `src` to the best 15 targets of each; kept: which document frequencies count."""
+    return f"""{grams_sql('ga', f"(SELECT * FROM {src} WHERE s = 0)")}, {grams_sql('gb', f"(SELECT * FROM {src} WHERE s = 1)")},
+big_n AS (SELECT country, count(DISTINCT entity_id) AS n FROM {src} WHERE s = 0 AND country <> '' GROUP BY country),
+idf AS (SELECT country, gram, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM ga JOIN big_n USING (country) GROUP BY country, gram {kept}),
 wa AS (SELECT country, entity_id, gram, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY country, entity_id)) AS w FROM ga JOIN idf USING (country, gram)),
 wb AS (SELECT country, entity_id, gram, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY country, entity_id)) AS w FROM gb JOIN idf USING (country, gram)),
 sim AS (SELECT wa.entity_id AS s1_id, wb.entity_id AS target_id, round(sum(wa.w * wb.w), 6) AS score FROM wa JOIN wb USING (country, gram) GROUP BY ALL),
 top AS (SELECT s1_id, target_id, score FROM sim WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) <= 15)"""
 
 
+TFIDF = tfidf_sql("src")
+EVERYWHERE = """everywhere AS (SELECT * REPLACE ('*' AS country) FROM src)"""
+
+
 @query(f"{chain(TFIDF)}SELECT country, gram, df, round(idf, 6) AS idf FROM idf")
 def tfidf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.idf(adapters.source(_docs(spark, sf_dir), 0)).withColumn("idf", F.round("idf", 6))
@@ -432,6 +449,12 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.tfidf_candidates(*_sides(spark, sf_dir, 1))
 
 
+@query(f"{chain(EVERYWHERE, tfidf_sql('everywhere', 'HAVING count(*) >= 2 AND count(*) <= 0.8 * any_value(n)'))}SELECT * FROM top")
+def tfidf_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, target = _sides(spark, sf_dir, 1)
+    return blocking.tfidf_candidates(blocking.everywhere(base), blocking.everywhere(target), min_df=2, max_df=0.8)
+
+
 @query(
     f"""{chain(TFIDF, candidates_sql(1))}, t AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS target_id FROM src a JOIN src b ON a.s = 0 AND b.s = 1 AND a.business_name = b.business_name AND a.country = b.country)
 SELECT * EXCLUDE (records), round(CASE WHEN truth > 0 THEN 100.0 * hits / truth ELSE 0 END, 6)::DOUBLE AS recall, round(candidates::DOUBLE / records, 6) AS per_record FROM (SELECT
@@ -450,10 +473,38 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]:
+    d = _docs(spark, sf_dir)
+    return programs.train(adapters.truth(d), adapters.originals(d), adapters.changed(d))
+
+
 @query()
 def gbt_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir)[1]
+
+
+def _modelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Submission and candidate export by a model that was trained, saved and loaded; S3 has none and takes that of S2."""
+    folder = shared_dir(spark, "models")
+    files.save_model(_trained(spark, sf_dir)[0], f"{folder}/s2")
     d = _docs(spark, sf_dir)
-    return programs.train(adapters.truth(d), adapters.originals(d), adapters.changed(d), trees=8)[1]
+    models = {s: files.load_model(spark, f"{folder}/{s}", f"{folder}/s2") for s in ("s2", "s3")}
+    return programs.infer(adapters.source(d, 0), {"s2": adapters.source(d, 1), "s3": adapters.source(d, 2)}, models=models)
+
+
+@query()
+def submission_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _modelled(spark, sf_dir)[0]
+
+
+@query(
+    f"""{chain(TFIDF, 'cand_1 AS (SELECT s1_id, target_id FROM top)', features_sql(1), scored_sql(1),
+  "matches AS (SELECT * FROM scored_1 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, target_id DESC) <= 5)", LISTS, SUBMISSION)}SELECT * FROM submission"""
+)
+def submission_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, target = _sides(spark, sf_dir, 1)
+    found = programs.tfidf_results(base, target, "s2")[1]
+    return matching.submission(base, matching.capped(found, 5, larger_id_first=True))
 
 
 def queries() -> dict[str, Query]:

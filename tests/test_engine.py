@@ -11,7 +11,7 @@ from tessera.functions import kernels, normalize, similarity
 from tessera.operators import blocking, matching, pairs, training
 from tessera.plans import programs
 from tessera.sources import adapters, files
-from tessera.storage import table
+from tessera.storage import table, written
 
 TEXT = st.text("abcd 12-é", max_size=14)
 
@@ -169,3 +169,84 @@ def test_training(spark, sf):
     truth = training.exploded_truth(adapters.truth(d))
     split = training.split(training.positives(truth, adapters.originals(d), adapters.changed(d)))
     assert split.where("held_out").count() == round(0.2 * split.count())
+
+
+def test_models_are_saved_loaded_and_fall_back(spark, sf, tmp_path):
+    d = table(spark, sf, "documents")
+    places = {k: str(tmp_path / k) for k in ("truth", "base", "changed", "s1", "s2", "s3")}
+    for name, rows in (("truth", adapters.truth(d)), ("base", adapters.originals(d)), ("changed", adapters.changed(d)), *((f"s{k + 1}", adapters.source(d, k)) for k in range(3))):
+        files.write_tsv(rows.withColumns({c: F.regexp_replace(c, r"[\t\r\n\\\\\"]", " ") for c in rows.columns}), places[name])
+    models = {k: str(tmp_path / f"model-{k}") for k in ("s2", "s3")}
+    with pytest.raises(FileNotFoundError):
+        programs.train_files(spark, str(tmp_path / "none"), places["base"], places["changed"], models)
+    measured = programs.train_files(spark, places["truth"], places["base"], places["changed"], {"s2": models["s2"]}, trees=3).first()
+    assert measured["f1"] > 0.5
+    with pytest.raises(FileNotFoundError):
+        files.load_model(spark, models["s3"])
+    first, again = (files.load_model(spark, models[k], models["s2"]) for k in ("s2", "s3"))
+    one, two = (files.read_tsv(spark, places[k]) for k in ("s1", "s2"))
+    found = written(blocking.candidates(one, two), "test-candidates")
+    got = [sorted(map(tuple, programs.scored(found, one, two, "s2", model=m).collect())) for m in (first, again)]
+    assert got[0] == got[1] and got[0] and all(p >= 0.5 for _, _, p in got[0])
+
+    # From files to files: inference without a model of S3, then export with and without stored candidates.
+    work, out = str(tmp_path / "work"), str(tmp_path / "out")
+    programs.infer_files(spark, places["s1"], {"s2": places["s2"], "s3": places["s3"]}, work, out, models)
+    read = lambda name, schema: sorted((r[0], r[1] or "") for r in files.read_tsv(spark, f"{out}/{name}.tsv", schema).collect())
+    lists = dict(read("submission", files.SUBMISSION))
+    assert set(lists) == {r[0] for r in one.select("entity_id").collect()} and any("S2" in v for v in lists.values())
+    assert all(v.count("S2") <= 5 and v.count("S3") <= 6 for v in lists.values())
+    pairs_schema = "source1_entity_id string, candidate_entity_id string"
+    programs.export_files(spark, places["s1"], ("s2", "s3"), work, out)
+    capped, stored = dict(read("submission", files.SUBMISSION)), read("candidate_pairs", pairs_schema)
+    assert set(capped) == set(lists) and all(v == "" or v.count(",") < 6 for v in capped.values())
+    assert sorted(stored) == sorted(map(tuple, files.read_parts(spark, [f"{work}/candidates-{s}" for s in ("s2", "s3")], files.PAIRS).distinct().collect()))
+    assert all((k, x) in set(stored) for k, v in capped.items() if v for x in v.split(","))
+    for s in ("s2", "s3"):
+        __import__("shutil").rmtree(f"{work}/candidates-{s}")
+    programs.export_files(spark, places["s1"], ("s2", "s3"), work, out)
+    assert dict(read("submission", files.SUBMISSION)) == capped
+    instead = read("candidate_pairs", pairs_schema)
+    assert set(instead) < set(stored) and {(k, x) for k, v in capped.items() if v for x in v.split(",")} <= set(instead)
+
+
+def test_dry_run_takes_some_rows(spark, sf, tmp_path):
+    d = table(spark, sf, "documents")
+    for k in range(2):
+        files.write_tsv(adapters.source(d, k), str(tmp_path / f"s{k + 1}"))
+    programs.infer_files(spark, str(tmp_path / "s1"), {"s2": str(tmp_path / "s2")}, str(tmp_path / "work"), str(tmp_path / "out"), rows=7)
+    assert files.read_tsv(spark, str(tmp_path / "out/submission.tsv"), files.SUBMISSION).count() == 7
+
+
+def test_truth_by_prefix(spark):
+    d = spark.createDataFrame([("a", "S2-1,S3-2,S2-3"), ("b", None), ("c", "S3-1")], files.TRUTH)
+    assert sorted(map(tuple, training.exploded_truth(d, "S2-").collect())) == [("a", "S2-1"), ("a", "S2-3")]
+    assert training.exploded_truth(d).count() == 4
+
+
+def test_larger_ids_first(spark):
+    r = spark.createDataFrame([("a", f"t{i}", 0.9) for i in range(4)] + [("a", "t9", 0.8)], "s1_id string, target_id string, prob double")
+    assert sorted(x["target_id"] for x in matching.capped(r, 2, larger_id_first=True).collect()) == ["t2", "t3"]
+
+
+def test_shared_folder_of_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.storage import shared_dir
+
+    session = lambda master, base: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: base), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("local[8]", None), "x") and shared_dir(session("yarn", "s3://a/b/"), "x").startswith("s3://a/b/x-")
+    for master in ("yarn", "local-cluster[2,1,512]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None), "x")
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for name in ("tessera.llm.queries", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    names = __spark_entry__.queries()
+    assert "submission" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
