@@ -74,14 +74,28 @@ def weights(records: DataFrame, idfs: DataFrame) -> DataFrame:
     return w.join(norm, ["country", "entity_id"]).select("country", "entity_id", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _numbered_weights(records: DataFrame, idfs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Records with a number, and their weights by number: pairs of numbers aggregate faster than pairs of strings."""
+    w = written(weights(records, idfs), f"tfidf-{name}")
+    ids = written(w.select("country", "entity_id").distinct().withColumn("n", F.monotonically_increasing_id()), f"tfidf-{name}-ids")
+    return ids, w.join(ids, ["country", "entity_id"]).select("country", "gram", "n", "w")
+
+
 def tfidf_candidates(base: DataFrame, target: DataFrame, top: int = DEFAULT.tfidf_top, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """s1_id, target_id, score: the `top` targets by cosine (6 places), ties by target_id."""
+    """s1_id, target_id, score: the `top` targets by cosine (6 places), ties by target_id.
+
+    Each gram's postings meet in one join, in which a frequent gram's can be split; pairs are added up before they are dealt out.
+    """
     idfs = written(idf(base, min_df, max_df), "idf")
-    a = weights(base, idfs).select("country", "gram", F.col("entity_id").alias("s1_id"), F.col("w").alias("wa"))
-    b = weights(target, idfs).select("country", "gram", F.col("entity_id").alias("target_id"), F.col("w").alias("wb"))
-    score = a.join(b, ["country", "gram"]).groupBy("s1_id", "target_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
+    grams = written(idfs.select("country", "gram").withColumn("g", F.monotonically_increasing_id()), "idf-ids")
+    (ids_a, a), (ids_b, b) = _numbered_weights(base, idfs, "base"), _numbered_weights(target, idfs, "target")
+    one, two = (w.join(grams, ["country", "gram"]).select("g", F.col("n").alias(x), F.col("w").alias(f"w{x}")) for w, x in ((a, "a"), (b, "b")))
+    one, two = written(one, "tfidf-a"), written(two, "tfidf-b")
+    score = one.join(two, "g").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score")).where("score > 0")
+    best = score.withColumn("place", F.rank().over(Window.partitionBy("a").orderBy(F.desc("score")))).where(F.col("place") <= top)
+    named = best.join(ids_a.select(F.col("n").alias("a"), F.col("entity_id").alias("s1_id")), "a").join(ids_b.select(F.col("n").alias("b"), F.col("entity_id").alias("target_id")), "b")
     place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("score"), "target_id"))
-    return score.where("score > 0").withColumn("place", place).where(F.col("place") <= top).select("s1_id", "target_id", "score")
+    return named.withColumn("place", place).where(F.col("place") <= top).select("s1_id", "target_id", "score")
 
 
 def everywhere(records: DataFrame) -> DataFrame:
