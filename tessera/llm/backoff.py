@@ -185,3 +185,16 @@ def score_documents(docs: DataFrame, order: int = ORDER, least: int = LEAST, alp
     sums = both.applyInArrow(lambda b, a: score(b, a), "doc_id long, n long, s double")
     sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("s"))
     return sums.select("doc_id", "n_words", F.round(F.when(F.col("n_words") > 0, F.col("s") / F.col("n_words")), 6).alias("score"))
+
+
+ORACLE = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT doc_id, ws[i] AS g1, CASE WHEN i > 1 THEN ws[i - 1] END AS b1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS g2,
+  CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] END AS b2, CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS g3 FROM p),
+c AS (SELECT g, count(*) AS n FROM (SELECT g1 AS g FROM g UNION ALL SELECT g2 FROM g WHERE g2 IS NOT NULL UNION ALL SELECT g3 FROM g WHERE g3 IS NOT NULL) GROUP BY g),
+total AS (SELECT count(*) AS n FROM p),
+s AS (SELECT doc_id, CASE WHEN c3.n >= {LEAST} THEN ln(c3.n::DOUBLE / d2.n) WHEN c2.n >= {LEAST} THEN ln({ALPHA}::DOUBLE) + ln(c2.n::DOUBLE / d1.n) ELSE 2 * ln({ALPHA}::DOUBLE) + ln(c1.n::DOUBLE / total.n) END AS s
+  FROM g CROSS JOIN total JOIN c c1 ON c1.g = g1 LEFT JOIN c c2 ON c2.g = g2 LEFT JOIN c c3 ON c3.g = g3 LEFT JOIN c d1 ON d1.g = b1 LEFT JOIN c d2 ON d2.g = b2)
+SELECT doc_id, count(s) AS n_words, round(avg(s), 6) AS score FROM (SELECT doc_id, s FROM s UNION ALL SELECT doc_id, NULL FROM w) GROUP BY doc_id
+"""

@@ -93,7 +93,7 @@ class WordTokenizer:
         data = raw.tobytes()
         runs = [data[x:y] for x, y in zip(b[first].tolist(), e[first].tolist())]
         if new := {x for x in runs if x not in self.runs}:
-            self._learn(sorted(new))
+            self._learn(list(new))
         found = np.array([self.runs[x] for x in runs], np.int64)
         found = found[which]
         n = found & (1 << 31) - 1
