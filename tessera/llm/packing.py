@@ -102,7 +102,7 @@ class WordTokenizer:
         return ids, np.concatenate([[0], ends])[np.searchsorted(b, at)]
 
 
-KNOWN_RUNS = 600_000
+KNOWN_RUNS, KEPT_RUNS = 600_000, 400_000  # within a task, and from task to task
 SIGNS = ".,!?;:*#$%&|<>()-\""
 KIND = np.zeros(256, np.uint8)
 KIND[97:123] = 1
@@ -144,7 +144,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
                 rows.append((doc_id, k, k * capacity, n, zlib.crc32(part), cut, int(seen[n])))
                 seen[n] += 1
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], PIECES.replace(",", "").split()[::2])
-    if path in _tokenizers:
+    if path in _tokenizers and len(_tokenizers[path].runs) > KEPT_RUNS:
         _tokenizers[path]._clear()  # later stages share this worker's memory
 
 
