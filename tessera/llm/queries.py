@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": jaccard.ORACLE, "op8_lm_scoring": backoff.ORACLE, "op10_temporal_url_filter": urlfilter.ORACLE}
+    return {"op2_ngram_jaccard_join": jaccard.ORACLE, "op7_suffix_array_dedup": repeats.ORACLE, "op8_lm_scoring": backoff.ORACLE, "op10_temporal_url_filter": urlfilter.ORACLE}

@@ -391,3 +391,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("own")) & (F.octet_length("text") >= WINDOW)
     d = d.select("doc_id", "lang", "source", (F.col("text") == "").alias("blank"), F.when(copy, "").otherwise(F.coalesce("kept_text", "text")).alias("text"), "missing")
     return d.where("text <> '' or blank").select("doc_id", F.when(~F.col("missing"), F.col("text")).alias("text"), "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+# Texts as hexadecimal digits, so that places are those of bytes; windows are taken from pieces of 128, as places in long strings cost DuckDB time.
+ORACLE = """
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+t AS (SELECT doc_id, j, substr(h, 2 * j + 1, 354) AS piece FROM (SELECT doc_id, h, unnest(range(0, n - 49, 128)) AS j FROM d WHERE n >= 50)),
+w AS (SELECT doc_id, j + k AS i, substr(piece, 2 * k + 1, 100) AS s FROM (SELECT doc_id, j, piece, unnest(range(length(piece) // 2 - 49)) AS k FROM t)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i, i > coalesce(max(i) OVER p + 50, -1) AS new FROM w JOIN f USING (s) WHERE doc_id > least WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT doc_id, k, min(i) AS b, max(i) + 50 AS e FROM (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY ALL),
+x AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS was FROM r),
+c AS (SELECT doc_id, sum(e - b)::BIGINT AS gone, count(*) AS spans, string_agg(substr(h, 2 * was + 1, 2 * (b - was)), '' ORDER BY b) AS kept, max(e) AS last FROM x JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""

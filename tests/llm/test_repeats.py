@@ -1,12 +1,14 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.brute import awkward, by_id, fixture
-from tessera.llm import anchors, repeats
+from tessera.llm import anchors, postings, repeats
 from tessera.llm.common import table
 from tessera.llm.suffixes import suffix_array
 
@@ -97,6 +99,36 @@ def test_awkward_rows(spark):
     assert repeats.removed_spans(twice).count() == len(rows) + 1
 
 
+def test_sql(spark):
+    rows = [(i, t) for i, t, *_ in awkward() if "\x00" not in (t or "")]
+    docs = pa.table({"doc_id": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows])})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    got = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM ({repeats.ORACLE})").fetchall()}
+    assert got == brute(rows)
+    mine = by_id(repeats.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i, r in mine.items()} == got
+
+
+def test_postings_meet_in_parts():
+    rng = np.random.default_rng(3)
+    c, h = rng.integers(0, 40, 3000).astype(np.uint64), rng.integers(0, 900, 3000).astype(np.uint64)
+    classes = {}
+    for x, y in zip(c.tolist(), h.tolist()):
+        classes.setdefault(y, set()).add(x)
+    t = pa.Table.from_batches([postings.rows([(0, postings.TO_BUCKET, postings.pack(*postings.by_class(c, h)))])])
+    found, often = set(), set()
+    for kind, data in zip(*(postings._meet(t, 3, 6).column(k).to_pylist() for k in ("kind", "data"))):
+        if kind == postings.OTHER:
+            often |= set(np.frombuffer(data, "<u8").tolist())
+        else:
+            found |= {(int(y), int(x)) for x, y in zip(*postings.unpack(data))}
+    assert found == {(y, x) for y, xs in classes.items() if len(xs) > 1 for x in xs}
+    assert often == {y for y, xs in classes.items() if len(xs) >= 6}
+    for one in (0, 1, 7):  # buckets with empty parts
+        assert postings._meet(pa.Table.from_batches([postings.rows([(0, 0, postings.pack(np.uint64([1, 2]), np.array([1, 1]), np.uint64([one, one])))])]), 3, 6).num_rows
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     rng = random.Random(6)
     some = ["".join(rng.choice("abc d") for _ in range(90)) for _ in range(5)]
