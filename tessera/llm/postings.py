@@ -22,6 +22,7 @@ from tessera.llm.common import chunks, partitions, written
 HOT = 500_000
 MASK = np.uint64((1 << 48) - 1)
 FLUSH = 1_200_000
+PARTS = 4
 TO_BUCKET, PAST, OTHER = 0, 1, 2
 
 
@@ -116,6 +117,26 @@ def _mapped(batches: Iterator[pa.RecordBatch], extract: Callable, buckets: int)
         yield rows(_flush(classes, counts, hashes, buckets, salt))
 
 
+def _twice(c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The postings (class, hash) of hashes that two classes or more have; and all hashes met twice with their numbers of classes."""
+    if not len(x):
+        return c, x, x, np.zeros(0, np.int64)
+    order = np.argsort(x, kind="stable")
+    c, x = c[order], x[order]
+    edge = np.concatenate([[True], x[1:] != x[:-1], [True]])
+    twice = ~(edge[1:] & edge[:-1])
+    c, x = c[twice], x[twice]
+    order = np.lexsort((c, x))
+    c, x = c[order], x[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+    other = np.ones(len(x), bool)
+    other[1:] = new[1:] | (c[1:] != c[:-1])
+    c, x, new = c[other], x[other], new[other]
+    size = np.diff(np.append(np.flatnonzero(new), len(x)))
+    ok = np.repeat(size > 1, size)
+    return c[ok], x[ok], x[new], size.astype(np.int64)
+
+
 def _meet(table: pa.Table, buckets: int, hot: int) -> pa.Table:
     """Of a bucket, the postings of hashes with two classes or more, by bucket of the class; and the hot hashes."""
     cls, h, more_h, more_n, out = [], [], [], [], []
@@ -133,28 +154,23 @@ def _meet(table: pa.Table, buckets: int, hot: int) -> pa.Table:
                 h.append(x)
     if h:
         c, x = np.concatenate(cls), np.concatenate(h)
-        order = np.argsort(x, kind="stable")
-        c, x = c[order], x[order]
-        edge = np.concatenate([[True], x[1:] != x[:-1], [True]])
-        twice = ~(edge[1:] & edge[:-1])
-        c, x = c[twice], x[twice]
-        order = np.lexsort((c, x))
-        c, x = c[order], x[order]
-        new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
-        other = np.ones(len(x), bool)
-        other[1:] = new[1:] | (c[1:] != c[:-1])
-        c, x, new = c[other], x[other], new[other]
-        size = np.diff(np.append(np.flatnonzero(new), len(x)))
-        ok = np.repeat(size > 1, size)
-        heads, df = x[new], size.astype(np.int64)
-        out += [(b, PAST, y) for b, y in split(c[ok] % np.uint64(buckets), c[ok], x[ok])]
-        if more_h and len(heads):
-            mh, mn = np.concatenate(more_h), np.concatenate(more_n).astype(np.int64)
-            at = np.minimum(np.searchsorted(heads, mh), len(heads) - 1)
-            good = heads[at] == mh
-            np.add.at(df, at[good], mn[good])
-        if (df >= hot).any():
-            out.append((-1, OTHER, heads[df >= hot].astype("<u8").tobytes()))
+        del cls, h
+        mh, mn = (np.concatenate(y) if y else np.zeros(0, np.uint64) for y in (more_h, more_n))
+        last, kept = x & np.uint64(PARTS - 1), []
+        for part in range(PARTS):  # the sorts' copies are of a part of the bucket
+            mine = last == part
+            pc, px, heads, df = _twice(c[mine], x[mine])
+            kept.append((pc, px))
+            if len(mh) and len(heads):
+                at = np.minimum(np.searchsorted(heads, mh), len(heads) - 1)
+                good = heads[at] == mh
+                np.add.at(df, at[good], mn[good].astype(np.int64))
+            if (df >= hot).any():
+                out.append((-1, OTHER, heads[df >= hot].astype("<u8").tobytes()))
+        del c, x, last, mine, pc, px
+        c, x = (np.concatenate([y[k] for y in kept]) for k in (0, 1))
+        del kept
+        out += [(b, PAST, y) for b, y in split(c % np.uint64(buckets), c, x)]
     return pa.Table.from_batches([rows(out)])
 
 
