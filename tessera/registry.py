@@ -400,7 +400,7 @@ def sample_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = _labelled(spark, sf_dir)
     both = training.positives(*sides).unionByName(training.negatives(*sides)).select("s1_id", "target_id", "label")
-    return training.split(written(both, "labelled"))
+    return training.split(both, among=training.near_count(*sides[1:]))
 
 
 @query(

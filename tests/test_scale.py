@@ -45,3 +45,15 @@ def test_no_pair_of_a_prefix_is_dealt_out(spark, sf):
     plan = training.negatives(training.exploded_truth(adapters.truth(d)), adapters.originals(d), adapters.changed(d))._jdf.queryExecution().optimizedPlan().toString()
     top = [re.sub(r"^[\s:+\-]*", "", x).split(" ")[0] for x in plan.splitlines()]
     assert "LeftAnti" not in plan and top.index("RepartitionByExpression") > top.index("Join")
+
+
+@pytest.mark.parametrize("among", [None, 30, 1_000_000])
+def test_split_by_the_place_of_its_cut(spark, among):
+    rows = [(f"s{i}", f"t{i % 7}", int(i % 3 == 0), i) for i in range(900)] + [("same", "row", 2, i) for i in range(8)]
+    d = spark.createDataFrame(rows, "s1_id string, target_id string, label int, other int")
+    got = training.split(d, among=among).collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(rows)
+    for label in (0, 1):
+        own = sorted((draw(s, t), s, t, o) for s, t, x, o in rows if x == label)
+        assert {r["other"] for r in got if r["label"] == label and r["held_out"]} == {x[3] for x in own[: round(0.2 * len(own))]}
+    assert sum(r["held_out"] for r in got if r["label"] == 2) == 2
