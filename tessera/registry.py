@@ -411,9 +411,7 @@ SELECT tp, fp, fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE W
   round(CASE WHEN 0.25 * p + q > 0 THEN 1.25 * p * q / (0.25 * p + q) ELSE 0 END, 6) AS f05 FROM r"""
 )
 def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = _labelled(spark, sf_dir)
-    both = training.positives(*sides).unionByName(training.negatives(*sides))
-    return training.metrics(both.select("label", (F.upper("name1") == F.upper("name2")).cast("int").alias("predicted")))
+    return training.metrics(training.name_agreement(*_labelled(spark, sf_dir)))
 
 
 CLEAN = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9\\s]', ' ', 'g')"

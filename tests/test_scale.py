@@ -47,6 +47,15 @@ def test_no_pair_of_a_prefix_is_dealt_out(spark, sf):
     assert "LeftAnti" not in plan and top.index("RepartitionByExpression") > top.index("Join")
 
 
+def test_agreement_counts_what_pairs_have(spark):
+    truth, one, two = sides(spark)
+    want = Counter()
+    for label, rows in ((1, training.positives(truth, one, two)), (0, training.negatives(truth, one, two))):
+        for r in rows.collect():
+            want[label, int(r["name1"] is not None and r["name2"] is not None and r["name1"].upper() == r["name2"].upper())] += 1
+    assert {(r["label"], r["predicted"]): r["n"] for r in training.name_agreement(truth, one, two).collect()} == dict(want)
+
+
 @pytest.mark.parametrize("among", [None, 30, 1_000_000])
 def test_split_by_the_place_of_its_cut(spark, among):
     rows = [(f"s{i}", f"t{i % 7}", int(i % 3 == 0), i) for i in range(900)] + [("same", "row", 2, i) for i in range(8)]
