@@ -385,7 +385,8 @@ def neg_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TRUTH} SELECT s1_id, target_id FROM neg ORDER BY {DRAWN}, s1_id, target_id LIMIT 5000")
 def sample_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.sampled(training.negatives(*_labelled(spark, sf_dir)), 5000).select("s1_id", "target_id")
+    sides = _labelled(spark, sf_dir)
+    return training.sampled(training.negatives(*sides), 5000, among=training.near_count(*sides[1:])).select("s1_id", "target_id")
 
 
 @query(f"WITH {TRUTH}, d AS (SELECT s1_id, target_id FROM sides ORDER BY {DRAWN}, s1_id, target_id LIMIT 5000) SELECT s1_id, target_id FROM d ANTI JOIN gt USING (s1_id, target_id)")

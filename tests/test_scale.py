@@ -56,6 +56,14 @@ def test_agreement_counts_what_pairs_have(spark):
     assert {(r["label"], r["predicted"]): r["n"] for r in training.name_agreement(truth, one, two).collect()} == dict(want)
 
 
+def test_sample_looks_at_small_draws_only(spark):
+    d = spark.createDataFrame([(f"s{i}", f"t{i % 7}") for i in range(4000)], "s1_id string, target_id string")
+    want = sorted((draw(*r), *r) for r in d.collect())
+    for among in (None, 4000, 400, 400_000):
+        assert sorted(tuple(r) for r in training.sampled(d, 50, among=among).collect()) == sorted(x[1:] for x in want[:50])
+    assert training.sampled(d, 5000, among=4000).count() == 4000
+
+
 @pytest.mark.parametrize("among", [None, 30, 1_000_000])
 def test_split_by_the_place_of_its_cut(spark, among):
     rows = [(f"s{i}", f"t{i % 7}", int(i % 3 == 0), i) for i in range(900)] + [("same", "row", 2, i) for i in range(8)]
