@@ -124,3 +124,13 @@ def test_pairs_are_dealt_out_with_strings_only(spark, sf):
     joins = [i for i, x in enumerate(plan) if "Join" in x]
     made = [i for i, x in enumerate(plan) if "Generate explode(array(" in x]
     assert any(i < joins[0] for i in made)  # the base record is described above the last join
+
+
+def test_everywhere_meets_other_countries(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "BASE_BLOCK", 3)
+    monkeypatch.setattr(blocking, "TARGET_BLOCK", 4)
+    one, two = ([(f"{k}{i}", f"abc {'xy' if i % 3 else 'zz'} {i % 4}", "", c) for i in range(20)] for k, c in (("a", "en"), ("b", "fr")))
+    want = plain_tfidf(*([(*r[:3], "*") for r in d] for d in (one, two)), 15, 2, 0.8)
+    got = blocking.tfidf_candidates(*(blocking.everywhere(spark.createDataFrame(d, files.SOURCE)) for d in (one, two)), min_df=2, max_df=0.8)
+    assert {tuple(x) for x in got.collect()} == want and want
+    assert not got._jdf.queryExecution().optimizedPlan().toString().count("wa#")
